@@ -168,8 +168,13 @@ class Passage:
         for i in range(len(self.q) - 4):
             self.seeds.setdefault(self.q[i:i + 5], []).append(i)
 
-    def match(self, doc: str, cover: float = 0.82) -> tuple[int, int]:
-        """Sentences that ``doc`` (plain) holds, and the longest stretch of the item in it, in characters of the item."""
+    def match(self, doc: str, cover: float = 0.8, facts: float = 0.7) -> tuple[int, int]:
+        """Sentences that ``doc`` (plain) holds, and the longest stretch of the item in it, in characters of the item.
+
+        A sentence is held if ``cover`` of its characters and ``facts`` of its
+        digits stand there in order: the same wording about other facts is not
+        the same sentence.
+        """
         votes: list[Counter] = [Counter() for _ in self.sents]
         sent_of = np.searchsorted([a for a, _ in self.sents], np.arange(len(self.q)), side="right") - 1
         for j in range(len(doc) - 4):
@@ -177,41 +182,43 @@ class Passage:
                 votes[sent_of[i]][(j - i) // 8] += 1
         hit = 0
         where = np.full(len(self.q), -1, dtype=np.int64)
+        least = 6 if self.english else 4
         for k, (at, s) in enumerate(self.sents):
             best, found = 0.0, None
-            tried = {d for d, _ in votes[k].most_common(4)}
-            for d in tried:
+            for d, v in votes[k].most_common(3):
+                if v < 0.12 * len(s):
+                    break
                 lo = max(0, d * 8 + at - 10)
-                w = doc[lo:lo + len(s) + 34]
-                blocks = [b for b in difflib.SequenceMatcher(None, s, w, autojunk=False).get_matching_blocks() if b.size >= 3]
-                c = sum(b.size for b in blocks) / len(s)
+                blocks = difflib.SequenceMatcher(None, s, doc[lo:lo + len(s) + 34], autojunk=False).get_matching_blocks()
+                c = sum(b.size for b in blocks if b.size >= 3) / len(s)
                 if c > best:
-                    best, found = c, (lo, blocks)
-            if best >= cover:
+                    best, found = c, (lo, [b for b in blocks if b.size >= least])
+            if not found:
+                continue
+            seen = np.zeros(len(s), dtype=bool)
+            for b in found[1]:
+                seen[b.a:b.a + b.size] = True
+                where[at + b.a:at + b.a + b.size] = found[0] + b.b + np.arange(b.size)
+            digits = np.array([c.isdigit() for c in s])
+            if best >= cover and (not digits.any() or seen[digits].mean() >= facts):
                 hit += 1
-            if found:
-                for b in found[1]:
-                    where[at + b.a:at + b.a + b.size] = found[0] + b.b + np.arange(b.size)
         return hit, self._stretch(where)
 
     def _stretch(self, where: np.ndarray) -> int:
-        best, i, n = 0, 0, len(where)
-        idx = np.flatnonzero(where >= 0)
-        start = prev = -1
-        miss = 0
-        for i in idx:
-            if prev >= 0 and i - prev <= 6 and 0 < where[i] - where[prev] <= 12:
+        best, start, prev, miss = 0, -1, -1, 0
+        for i in np.flatnonzero(where >= 0):
+            if prev >= 0 and i - prev <= 5 and 0 < where[i] - where[prev] <= 10:
                 miss += i - prev - 1
-                if miss > 0.18 * (i - start + 1) + 2:
+                if miss > 0.08 * (i - start + 1) + 2:
                     start, miss = i, 0
             else:
                 start, miss = i, 0
             prev = i
             best = max(best, self.raw_at[i] - self.raw_at[start] + 1)
-        return best
+        return int(best)
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, n: int = N, stretch: int = 60, stretch_english: int = 140, max_terms: int = 5_000_000,
+def leaked_passages(docs: DataFrame, items: DataFrame, n: int = N, stretch: int = 60, stretch_english: int = 140, least_terms: int = 2, max_terms: int = 5_000_000,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``item_id, doc_id, sentences, stretch, shared_terms`` of documents that hold a test item.
 
@@ -236,7 +243,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n: int = N, stretch: int
     qt = spark.createDataFrame(query[["item_id", "sent", "pos", "term"]] if len(query) else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("item_id", "sent", "pos", "term")}))
     shifted = index.join(F.broadcast(qt) if len(query) < 1_000_000 else qt, "term").select("item_id", "doc_id", "sent", "pos", F.explode("positions").alias("at"))
     met = shifted.groupBy("item_id", "doc_id", F.floor((F.col("at") - F.col("pos")) / 16).alias("shift")).agg(F.countDistinct("pos").alias("n"))
-    cand = met.groupBy("item_id", "doc_id").agg(F.sum("n").alias("shared_terms"), F.max("n").alias("in_place"))
+    cand = met.groupBy("item_id", "doc_id").agg(F.sum("n").alias("shared_terms")).where(F.col("shared_terms") >= least_terms)
     by_doc = cand.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shared_terms")).alias("items"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).join(by_doc, "doc_id")
     by_item = dict(rows)
