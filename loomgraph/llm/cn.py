@@ -88,7 +88,7 @@ zhun -10309 zhuo -10307 zi -10296 zong -10281 zou -10274 zu -10270 zuan -10262 z
 # Readings of characters outside level 1, and other readings of some inside.
 OTHER = (
     "崧 song 漪 yi 浔 xun 霁 ji 珞 luo 蕖 qu 溆 xu 芷 zhi 璟 jing 睿 rui 鑫 xin 怡 yi 瀚 han 珂 ke 滕 teng 锵 qiang 璨 can 铠 kai 箬 ruo 嗯 en 淞 song 芸 yun 寰 huan 皓 hao 骅 hua 桉 an 曦 xi "
-    "潇 xiao 曜 yao 萱 xuan 璧 bi 楠 nan 梓 zi 忒 te 瑕 xia 昊 hao 晖 hui 晟 sheng 钰 yu 琪 qi 瑾 jin 瑜 yu 琳 lin 琦 qi 珺 jun 玥 yue 琛 chen 璇 xuan 璐 lu 瑶 yao 祺 qi 祎 yi 嵘 rong 峥 zheng 嵩 song 岚 lan "
+    "垠 yin 唑 zuo 腱 jian 潇 xiao 曜 yao 萱 xuan 璧 bi 楠 nan 梓 zi 忒 te 瑕 xia 昊 hao 晖 hui 晟 sheng 钰 yu 琪 qi 瑾 jin 瑜 yu 琳 lin 琦 qi 珺 jun 玥 yue 琛 chen 璇 xuan 璐 lu 瑶 yao 祺 qi 祎 yi 嵘 rong 峥 zheng 嵩 song 岚 lan "
     "岱 dai 岷 min 泓 hong 泫 xuan 洺 ming 浚 jun 涵 han 淼 miao 渝 yu 湘 xiang 溢 yi 滢 ying 澍 shu 澜 lan 濠 hao 瀛 ying 炜 wei 炫 xuan 焱 yan 煜 yu 熠 yi 燊 shen 犇 ben 斌 bin 旻 min 昕 xin 昱 yu 晗 han 暄 xuan "
     "柏 bo 桦 hua 梵 fan 榕 rong 槿 jin 樊 fan 骏 jun 骁 xiao 骐 qi 骥 ji 飒 sa 馨 xin 黛 dai 彧 yu 妤 yu 嘉 jia 轩 xuan 宸 chen 宥 you 寅 yin 尧 yao 亓 qi 佟 tong 佳 jia 俪 li 倩 qian 偲 si 傲 ao 勋 xun 匡 kuang 卓 zhuo "
     "翊 yi 翎 ling 翌 yi 羿 yi 聿 yu 艺 yi 芊 qian 芃 peng 苒 ran 茗 ming 荃 quan 莘 shen 莹 ying 菁 jing 菡 han 萌 meng 葳 wei 蓓 bei 蔚 wei 蕊 rui 薇 wei 蕙 hui 蘅 heng 赟 yun 逸 yi 邺 ye 邹 zou 郢 ying 钊 zhao 钧 jun "

@@ -73,20 +73,56 @@ def slip(a: str, b: str) -> bool:
 
 
 def _trade_en(words: list[str]) -> tuple[str | None, int]:
-    """The trade that the last words name, in full, with a slip or cut off with a point, and how many words that takes."""
+    """The trade that the last words name, in full, with a slip or cut off with a point, and how many words that takes.
+
+    A cut-off word that may stand for several trades takes its word and names none.
+    """
     for n in (2, 3, 1):
         if len(words) < n:
             continue
         tail = "".join(words[-n:])
         bare = re.sub("[^a-z]", "", tail)
-        if len(bare) < 4:
+        if len(bare) < 3:
             continue
+        cut = [k for k, w in _EN.items() if w.startswith(bare)] if n == 1 and (tail.endswith(".") or len(bare) >= 5) else []
         for k, w in _EN.items():
-            if bare == w or (len(bare) > 5 and slip(bare, w)) or (n == 1 and tail.endswith(".") and w.startswith(bare)) or (n == 1 and len(bare) >= 5 and w.startswith(bare)):
+            if bare == w or (len(bare) > 5 and slip(bare, w)):
                 return k, n
+        if cut:
+            return (cut[0] if len(cut) == 1 else None), n
     return None, 0
 
 
+def _squeezed(t: str, out: dict, places: Places) -> dict:
+    """The same without trusting blanks: parts are peeled off both ends of the bare letters."""
+    s = re.sub(r"\s+", "", t.lower())
+    s = re.sub(r"[,.]*(?:co\.?,?ltd|limited|ltd)\.?$", lambda m: "." if m[0].startswith(".") else "", s)
+    m = re.search(r"\(([a-z]+)\)", s)
+    if m:
+        c = places.by_latin(m[1])
+        out["city"] = c[0] if c else None
+        s = s[:m.start()] + s[m.end():]
+    else:
+        k = max((k for k in places.latin if s.startswith(k) and len(s) > len(k) + 5), key=len, default=None)
+        if k:
+            out["city"], s = places.latin[k][0], s[len(k):]
+    cut = s.endswith(".")
+    s = re.sub("[^a-z]", "", s)
+    for k, w in _EN.items():
+        for n in (len(w), len(w) - 1, len(w) + 1):
+            if len(s) > n + 2 and (s[-n:] == w or (len(w) > 5 and slip(s[-n:], w) and s[-n] == w[0])):
+                out["trade"], out["brand"] = k, s[:-n]
+                return out
+    if cut:
+        for n in (5, 6, 4, 3):
+            ks = [k for k, w in _EN.items() if w.startswith(s[-n:])]
+            if ks and len(s) > n + 2:
+                out["trade"], out["brand"] = (ks[0] if len(ks) == 1 else None), s[:-n]
+                return out
+    out["brand"] = s
+    return out
+
+
 def parse_org(name: str | None, places: Places) -> dict:
     """``city, prov, brand`` (simplified characters, or lower-case letters), ``latin, trade, form`` of one writing."""
     out = {"city": None, "prov": None, "brand": "", "latin": False, "trade": None, "form": ""}
@@ -147,8 +183,9 @@ def _parse_latin(t: str, out: dict, places: Places) -> dict:
             if c:
                 out["city"], words = c[0], words[1:]
     trade, n = _trade_en(words)
-    if trade and len(words) > n:
-        out["trade"], words = trade, words[:-n]
+    if not n or len(words) <= n or any(len(w) == 1 for w in words) or re.search(r"\S\s{2,}\S|　", t):
+        return _squeezed(t, out, places)
+    out["trade"], words = trade, words[:-n]
     out["brand"] = re.sub("[^a-z]", "", "".join(words))
     return out
 
