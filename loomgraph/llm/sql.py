@@ -11,7 +11,7 @@ def _verhoeff() -> str:
         rows += row
         row = [row[x] for x in P5]
     return (
-        f"list_reduce(list_prepend(0, list_transform(range(0, length(s)), i -> {rows}[(i % 8) * 10 + cast(substr(s, length(s) - i, 1) as int) + 1])), (a, x) -> {list(D5)}[a * 10 + x + 1]) = 0"
+        f"list_reduce(list_prepend(0, list_transform(range(0, length(s)), lambda i: {rows}[(i % 8) * 10 + cast(substr(s, length(s) - i, 1) as int) + 1])), lambda a, x: {list(D5)}[a * 10 + x + 1]) = 0"
     )
 
 
