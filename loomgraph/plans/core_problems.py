@@ -49,10 +49,10 @@ e as (select c.id as child, min(p.id) as parent from (
   join ids c on c.k = x.a join ids p on p.k = x.b group by 1),
 nodes as (select child as n from e union select parent from e),
 up as (
-  select n, n as at, 0 as d, [n] as seen from nodes
-  union all select up.n, e.parent, up.d + 1, list_prepend(e.parent, up.seen) from up join e on e.child = up.at where not list_contains(up.seen[:len(up.seen)], e.parent)),
-top as (select n, arg_max(at, d) as at, max(d) as d, arg_max(seen, d) as seen from up group by n),
-x as (select top.n, top.at, top.d, top.seen, e.parent as back from top left join e on e.child = top.at)
+  select n, n as pos, 0 as d, [n] as seen from nodes
+  union all select up.n, e.parent, up.d + 1, list_prepend(e.parent, up.seen) from up join e on e.child = up.pos where not list_contains(up.seen[:len(up.seen)], e.parent)),
+ends as (select n, arg_max(pos, d) as pos, max(d) as d, arg_max(seen, d) as seen from up group by n),
+x as (select ends.n, ends.pos, ends.d, ends.seen, e.parent as back from ends left join e on e.child = ends.pos)
 """
 
 
@@ -68,9 +68,9 @@ o as (
   union all select id, created_at, f, case when p.k is null then 'missing' when born > created_at then 'late' end from r left join p using (k) where f = 'ontology_id')
 """
     return {
-        "p3_found": _WALK + f"select n as node_id, case when back is null then at else {loop} end as root_id, cast(case when back is null then d else -1 end as bigint) as depth from x",
-        "p3_paths": _WALK + f"select n as node_id, case when back is null then at else {loop} end as root_id, cast(case when back is null then d else -1 end as bigint) as depth, case when back is null then array_to_string(seen, '/') end as path from x",
-        "p3_descendants": _WALK + "select up.at as ancestor_id, up.n as node_id, cast(up.d as bigint) as distance from up join x using (n) where x.back is null and up.d > 0",
+        "p3_found": _WALK + f"select n as node_id, case when back is null then pos else {loop} end as root_id, cast(case when back is null then d else -1 end as bigint) as depth from x",
+        "p3_paths": _WALK + f"select n as node_id, case when back is null then pos else {loop} end as root_id, cast(case when back is null then d else -1 end as bigint) as depth, case when back is null then array_to_string(seen, '/') end as path from x",
+        "p3_descendants": _WALK + "select up.pos as ancestor_id, up.n as node_id, cast(up.d as bigint) as distance from up join x using (n) where x.back is null and up.d > 0",
         "p5_found": orphans + "select id as relation_id, f as ref_field, kind from o where kind is not null",
         "p5_report": orphans + "select f as ref_field, strftime(created_at, '%Y-%m') as period, kind, count(*) as n from o where kind is not null group by all",
     }
