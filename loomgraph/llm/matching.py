@@ -40,14 +40,11 @@ def city_in(address: str | None, places: Places) -> str:
 
 
 def sources(orders: DataFrame, shipments: DataFrame, places: Places) -> DataFrame:
-    """Rows that name a company: ``src_table, src_key, key, klass, hint``; each key once."""
+    """Rows that name a company: ``src_table, src_key, key, klass, hint``; repeated rows once."""
     named = lambda c: F.col(c).isNotNull() & ~F.trim(F.regexp_replace(c, "\\s+", "")).isin(*MISSING)
-    o = orders.where(F.col("订单号").isNotNull() & named("供应商")).groupBy(F.col("订单号").alias("src_key")).agg(
-        F.min(F.struct(F.col("供应商").alias("key"), F.col("供应商类别").alias("klass"))).alias("r"))
-    o = o.select(F.lit("purchase_orders").alias("src_table"), "src_key", "r.key", F.coalesce("r.klass", F.lit("")).alias("klass"), F.lit("").alias("hint"))
-    s = shipments.where(F.col("发货单号").isNotNull() & named("客户名称")).groupBy(F.col("发货单号").alias("src_key")).agg(
-        F.min(F.struct(F.col("客户名称").alias("key"), F.col("客户类型").alias("klass"), F.col("收货地址").alias("a"))).alias("r"))
-    s = s.select("src_key", "r.key", F.coalesce("r.klass", F.lit("")).alias("klass"), "r.a")
+    o = orders.where(F.col("订单号").isNotNull() & named("供应商")).select(F.col("订单号").alias("src_key"), F.col("供应商").alias("key"), F.coalesce("供应商类别", F.lit("")).alias("klass")).distinct()
+    o = o.select(F.lit("purchase_orders").alias("src_table"), "src_key", "key", "klass", F.lit("").alias("hint"))
+    s = shipments.where(F.col("发货单号").isNotNull() & named("客户名称")).select(F.col("发货单号").alias("src_key"), F.col("客户名称").alias("key"), F.coalesce("客户类型", F.lit("")).alias("klass"), F.col("收货地址").alias("a")).distinct()
 
     def place(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str | None, str] = {}
@@ -78,14 +75,15 @@ def fit_mixture(x: np.ndarray, n: np.ndarray, g: np.ndarray, ridge: float) -> np
     return np.clip(out[0] - out[1], -50, 50)
 
 
-def match_companies(orders: DataFrame, shipments: DataFrame, entities: DataFrame, rounds: int = 6, ridge: float = 0.02, margin: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def match_companies(orders: DataFrame, shipments: DataFrame, entities: DataFrame, rounds: int = 4, ridge: float = 0.02, margin: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows that name companies, the company each writing is matched to with its posterior, and entity ids by company.
 
     Similarities are rounded to steps of 0.05, so that the mixtures are fitted
     to counts of distinct vectors, of which the grid allows few thousand,
     whatever the number of pairs; every pair counts. A writing whose two best
     companies are less than ``margin`` log odds apart, and fit it equally, is
-    matched to neither. Rows without a name give no row.
+    matched to neither. Rows without a name give no row; an id with several
+    different rows gives what each of them gives.
     """
     spark = orders.sparkSession
     texts = orders.select(F.col("供应商").alias("t")).unionByName(shipments.select(F.col("客户名称").alias("t")))
