@@ -22,6 +22,7 @@ def session(app: str = "loomgraph", master: str = "local[8]", **conf: str) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.sql.files.openCostInBytes": "1m",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "20g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
