@@ -160,10 +160,10 @@ def json_flatten_props(spark, d):
     return nested.flatten(e)
 
 
-@query("select o_orderkey, l_linenumber as \"items.line\", l_partkey as \"items.part\", l_quantity as \"items.qty\" from orders left join lineitem on l_orderkey = o_orderkey")
+@query("select o_orderkey, l_linenumber as \"items.line\", l_partkey as \"items.part\", l_quantity as \"items.qty\" from orders join lineitem on l_orderkey = o_orderkey")
 def json_explode_first_array(spark, d):
     li = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"))).alias("items"))
-    o = load(spark, d, "orders").select("o_orderkey").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "items")
+    o = load(spark, d, "orders").select("o_orderkey").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "items")
     return nested.explode_first_array(o)
 
 
@@ -340,14 +340,14 @@ def pricing_summary(spark, d):
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
 
 
-@query("select p_brand, p_size, count(*) as n from part group by cube (p_brand, p_size)")
+@query("select p_brand, coalesce(p_size, -1) as p_size, count(*) as n from part group by cube (p_brand, p_size)")
 def rollup_cube(spark, d):
-    return load(spark, d, "part").cube("p_brand", "p_size").agg(F.count("*").alias("n"))
+    return load(spark, d, "part").cube("p_brand", "p_size").agg(F.count("*").alias("n")).withColumn("p_size", F.coalesce("p_size", F.lit(-1)))
 
 
 @query("select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as \"F\", count(*) filter (where o_orderstatus = 'O') as \"O\", count(*) filter (where o_orderstatus = 'P') as \"P\" from orders group by 1")
 def pivot_status(spark, d):
-    return load(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*")).na.fill(0)
+    return load(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @query("select o_custkey, o_orderkey, r from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders) where r <= 3")
@@ -421,11 +421,11 @@ def audit_chain_verify(spark, d):
     return governance.verify_chain(e, ["event_type"], ["ts", "event_id"], body)
 
 
-@query("""select o_orderkey as key, case when o_orderkey % 11 = 0 then 'missing' else 'different' end as state from orders where o_orderkey % 11 = 0 or o_orderkey % 13 = 0 union all select -s_suppkey, 'stale' from supplier""")
+@query("""select o_orderkey as key, case when o_orderkey % 11 = 0 then 'missing' else 'different' end as state from orders where o_orderkey % 11 = 0 or o_orderkey % 13 = 0 union all select -1 - s_suppkey, 'stale' from supplier""")
 def reconcile_diff(spark, d):
     o = load(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     k = F.col("o_orderkey")
-    idx = o.where(k % 11 != 0).withColumn("o_orderstatus", F.when(k % 13 == 0, "!").otherwise(F.col("o_orderstatus"))).unionByName(load(spark, d, "supplier").select((-F.col("s_suppkey")).alias("o_orderkey"), F.lit("O").alias("o_orderstatus")))
+    idx = o.where(k % 11 != 0).withColumn("o_orderstatus", F.when(k % 13 == 0, "!").otherwise(F.col("o_orderstatus"))).unionByName(load(spark, d, "supplier").select((-1 - F.col("s_suppkey")).alias("o_orderkey"), F.lit("O").alias("o_orderstatus")))
     return governance.reconcile(o, idx, "o_orderkey", "o_orderstatus")
 
 

@@ -45,7 +45,7 @@ def after_cursor(df: DataFrame, wm: str, pk: str, cursor: tuple | None, overlap:
     """Rows behind a cursor (watermark, key), or from the watermark less an overlap on; written as a filter, so that it reaches the scan."""
     if cursor is None:
         return df
-    w, k = F.lit(cursor[0]).cast(dict(df.dtypes)[wm]), F.lit(cursor[1])
+    w, k = (F.lit(v).cast(dict(df.dtypes)[c]) for c, v in zip((wm, pk), cursor))
     if overlap:
         return df.where(F.col(wm) >= w - F.expr(f"interval {overlap}"))
     return df.where((F.col(wm) > w) | ((F.col(wm) == w) & (F.col(pk) > k)))
@@ -63,7 +63,7 @@ def advanced(before: Column, candidate: Column) -> Column:
 
 def flagged_late(df: DataFrame, wm: str, pk: str, cursor: tuple) -> DataFrame:
     """All rows with ``is_late``: at or behind the cursor. Late rows are counted, never dropped."""
-    c = F.struct(F.lit(cursor[0]).cast(dict(df.dtypes)[wm]), F.lit(cursor[1]))
+    c = F.struct(*[F.lit(v).cast(dict(df.dtypes)[k]) for k, v in zip((wm, pk), cursor)])
     return df.withColumn("is_late", F.struct(F.col(wm), F.col(pk)) <= c)
 
 
