@@ -75,7 +75,7 @@ def fit_mixture(x: np.ndarray, n: np.ndarray, g: np.ndarray, ridge: float) -> np
     return np.clip(out[0] - out[1], -50, 50)
 
 
-def match_companies(orders: DataFrame, shipments: DataFrame, entities: DataFrame, rounds: int = 4, ridge: float = 0.05, margin: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def match_companies(orders: DataFrame, shipments: DataFrame, entities: DataFrame, rounds: int = 4, ridge: float = 0.1, margin: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows that name companies, the company each writing is matched to with its posterior, and entity ids by company.
 
     Similarities are rounded to steps of 0.05, so that the mixtures are fitted
