@@ -15,6 +15,7 @@ from __future__ import annotations
 import difflib
 import html
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,13 +40,12 @@ def plain(t: str | None) -> str:
         t = _MARKUP.sub("", t)
     if "&" in t:
         t = html.unescape(t)
+    t = _SKIP.sub("", t)
     if not t.isascii():
-        import unicodedata
-
-        if not unicodedata.is_normalized("NFKC", t):
-            t = unicodedata.normalize("NFKC", t)
+        if not unicodedata.is_normalized("NFKC", t):  # full-width digits and letters; marks are gone by now
+            t = _SKIP.sub("", unicodedata.normalize("NFKC", t))
         t = simplified(t)
-    return _SKIP.sub("", t.lower())
+    return t.lower()
 
 
 def _hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,7 +218,7 @@ class Passage:
         return int(best)
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, n: int = N, stretch: int = 60, stretch_english: int = 140, least_terms: int = 2, max_terms: int = 5_000_000,
+def leaked_passages(docs: DataFrame, items: DataFrame, n: int = N, stretch: int = 60, stretch_english: int = 140, least_terms: int = 3, broadcast_rows: int = 200_000, max_terms: int = 5_000_000,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``item_id, doc_id, sentences, stretch, shared_terms`` of documents that hold a test item.
 
@@ -244,7 +244,9 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n: int = N, stretch: int
     shifted = index.join(F.broadcast(qt) if len(query) < 1_000_000 else qt, "term").select("item_id", "doc_id", "sent", "pos", F.explode("positions").alias("at"))
     met = shifted.groupBy("item_id", "doc_id", F.floor((F.col("at") - F.col("pos")) / 16).alias("shift")).agg(F.countDistinct("pos").alias("n"))
     cand = met.groupBy("item_id", "doc_id").agg(F.sum("n").alias("shared_terms")).where(F.col("shared_terms") >= least_terms)
-    by_doc = cand.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shared_terms")).alias("items"))
+    by_doc = cut(cand.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shared_terms")).alias("items")))
+    if by_doc.count() <= broadcast_rows:  # else the texts are shuffled to their candidates
+        by_doc = F.broadcast(by_doc)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).join(by_doc, "doc_id")
     by_item = dict(rows)
 
