@@ -240,7 +240,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n: int = N, stretch: int
     query = rarest(q, df)
     chosen = query["term"].unique()
     index = cut(postings(docs, chosen, n, id_col, text_col))
-    qt = spark.createDataFrame(query[["item_id", "sent", "pos", "term"]] if len(query) else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("item_id", "sent", "pos", "term")}))
+    qt = spark.createDataFrame(query[["item_id", "sent", "pos", "term"]].values.tolist(), "item_id long, sent long, pos long, term long")
     shifted = index.join(F.broadcast(qt) if len(query) < 1_000_000 else qt, "term").select("item_id", "doc_id", "sent", "pos", F.explode("positions").alias("at"))
     met = shifted.groupBy("item_id", "doc_id", F.floor((F.col("at") - F.col("pos")) / 16).alias("shift")).agg(F.countDistinct("pos").alias("n"))
     cand = met.groupBy("item_id", "doc_id").agg(F.sum("n").alias("shared_terms")).where(F.col("shared_terms") >= least_terms)

@@ -86,7 +86,7 @@ def match_companies(orders: DataFrame, shipments: DataFrame, entities: DataFrame
     different rows gives what each of them gives.
     """
     spark = orders.sparkSession
-    texts = orders.select(F.col("供应商").alias("t")).unionByName(shipments.select(F.col("客户名称").alias("t")))
+    texts = orders.select(F.col("供应商").alias("t")).unionByName(shipments.select(F.col("客户名称").alias("t"))).unionByName(shipments.select(F.col("收货地址").alias("t")))
     org = entities.where("canonical_id is null")
     texts = texts.unionByName(org.select(F.col("name_cn").alias("t"))).unionByName(org.select(F.col("description").alias("t")))
     places = learn_places(texts)
@@ -102,7 +102,7 @@ def match_companies(orders: DataFrame, shipments: DataFrame, entities: DataFrame
         best_class.select("src_table", "key", F.col("klass").alias("usual")), ["src_table", "key"]).withColumn("klass", F.when(F.col("klass") == "", F.coalesce("usual", F.lit(""))).otherwise(F.col("klass")))
         .groupBy("node", "klass", "hint").agg(F.sum("n").alias("n")).withColumn("l", F.xxhash64("node", "klass", "hint")))
     a = nodes.select("node", F.col("letters").alias("a"), F.col("brand").alias("brand_l"), F.col("latin").alias("latin_l"), F.col("city").alias("city_l"), F.col("trade").alias("trade_l"), F.col("form").alias("form_l"), F.col("center").alias("own"))
-    c = nodes.where("node = center").select(F.col("node").alias("c"), F.col("letters").alias("b"), F.col("brand").alias("brand_c"), F.col("latin").alias("latin_c"), F.col("city").alias("city_c"), F.col("trade").alias("trade_c"), F.col("form").alias("form_c"))
+    c = nodes.where("node = center and not torn").select(F.col("node").alias("c"), F.col("letters").alias("b"), F.col("brand").alias("brand_c"), F.col("latin").alias("latin_c"), F.col("city").alias("city_c"), F.col("trade").alias("trade_c"), F.col("form").alias("form_c"))
     # what a company's satellites add to its centre: missing city or trade
     extra = nodes.where("node != center").groupBy(F.col("center").alias("c")).agg(F.max("city").alias("xc"), F.max("trade").alias("xt"))
     c = c.join(extra, "c", "left").withColumn("city_c", F.when(F.col("city_c") == "", F.coalesce("xc", F.lit(""))).otherwise(F.col("city_c"))).withColumn(
