@@ -440,3 +440,83 @@ def retention_purge(spark, d):
     r = load(spark, d, "relations").select("id", "ontology_id", "created_at").distinct()
     hold = load(spark, d, "ontology_projects").where("status = 'published'").select(F.col("id").alias("ontology_id"))
     return governance.purgeable(r, "created_at", F.lit("2025-01-01").cast("timestamp_ntz"), "ontology_id", hold).select("id")
+
+
+# -- ontology ---------------------------------------------------------------------------------------------
+
+@query("""with e as (select distinct id as name, coalesce(type, '') as type, confidence from entities), r as (select source_entity as s, type as t, target_entity as o from relations), n as (select name from e)
+ select 'unknown_type' as "check", 'warning' as severity, count(*) as n from e where type not in ('疾病', '药物', '物料', '财务概念', '部门', '企业', '组织', '人员', '供应商', '客户')
+ union all select 'confidence_range', 'warning', count(*) from e where not coalesce(confidence between 0 and 1, false)
+ union all select 'dangling_source', 'error', count(*) from r where s not in (select name from n) union all select 'dangling_target', 'error', count(*) from r where o not in (select name from n)
+ union all select 'loop', 'warning', count(*) from r where s = o having count(*) > 0
+ union all select 'repeated_triple', 'info', count(*) from (select 1 from r group by s, t, o having count(*) > 1)""")
+def validation_findings(spark, d):
+    from ..operators import ontology
+
+    e = load(spark, d, "entities").select(F.col("id").alias("name"), F.coalesce("type", F.lit("")).alias("type"), "confidence").distinct()
+    r = load(spark, d, "relations").select(F.col("source_entity").alias("source"), "type", F.col("target_entity").alias("target"))
+    return ontology.violations(e, r, ("疾病", "药物", "物料", "财务概念", "部门", "企业", "组织", "人员", "供应商", "客户")).groupBy("check", "severity").agg(F.count("*").alias("n"))
+
+
+@query("select id as key, case when properties is null then 'null' when not json_valid(properties) then 'invalid' when json_type(properties) = 'OBJECT' then 'object' when json_type(properties) = 'ARRAY' then 'array' else 'scalar' end as kind from entities")
+def property_payloads(spark, d):
+    return governance.property_findings(load(spark, d, "entities"), "id", "properties")
+
+
+@query("""with a as (select distinct 物料类别 as name from purchase_orders where length(物料类别) >= 2), b as (select distinct 产品名称 as m from logistics_fulfillment union select distinct 物料名称 from purchase_orders union select '高级' || 物料类别 || '类' from purchase_orders where 物料类别 is not null), x as (select name, m, row_number() over (partition by name order by length(m), m) as r from a join b on length(m) >= 2 and (contains(m, name) or contains(name, m))) select name, m as "match" from x where r = 1""")
+def containing_names(spark, d):
+    from ..operators import ontology
+
+    p = load(spark, d, "purchase_orders")
+    known = load(spark, d, "logistics_fulfillment").select(F.col("产品名称").alias("n")).unionByName(p.select(F.col("物料名称").alias("n"))).unionByName(p.where(F.col("物料类别").isNotNull()).select(F.concat(F.lit("高级"), "物料类别", F.lit("类")).alias("n"))).distinct()
+    return ontology.containing_name(p.select(F.col("物料类别").alias("n")).distinct(), known, "n")
+
+
+@query("select o_orderkey, o_orderdate, true as truncated from orders order by o_orderkey limit 20")
+def truncated_read(spark, d):
+    from ..operators import ontology
+
+    return ontology.truncated(load(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderkey"], 20)
+
+
+@query(f"""select {_UUID5} as relation_id, source, target, 'HAS_NATION' as type, 0.85 as confidence from (select distinct cast(c_custkey as varchar) as source, cast(n_nationkey as varchar) as target, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('o1:' || c_custkey || ':HAS_NATION:' || n_nationkey || ':c_nationkey')) as h from customer join nation on c_nationkey = n_nationkey)""")
+def instance_relations(spark, d):
+    from ..operators import ontology
+
+    return ontology.row_links(load(spark, d, "customer"), "c_custkey", "c_nationkey", load(spark, d, "nation"), "n_nationkey", "o1", "HAS_NATION")
+
+
+@query()
+def ontology_build_rules(spark, d):
+    from ..operators import ontology
+
+    return ontology.build({t: load(spark, d, t) for t in ("region", "nation", "supplier")}, "o1")["rules"]
+
+
+@query()
+def ontology_build_links(spark, d):
+    from ..operators import ontology
+
+    return ontology.build({t: load(spark, d, t) for t in ("region", "nation", "supplier", "customer")}, "o1")["links"]
+
+
+@query("select canonical_id, arg_max(id, (coalesce(length(name_cn), 0) + coalesce(length(description), 0), id)) as id from (select distinct * from entities) where canonical_id is not null group by 1")
+def richest_record(spark, d):
+    e = load(spark, d, "entities").where("canonical_id is not null").distinct()
+    rich = F.coalesce(F.length("name_cn"), F.lit(0)) + F.coalesce(F.length("description"), F.lit(0))
+    return e.groupBy("canonical_id").agg(F.max_by("id", F.struct(rich, "id")).alias("id"))
+
+
+@query("select o_orderkey, o_orderstatus, version from (select o_orderkey, o_orderstatus, 1 as version from orders where o_orderkey % 3 <> 0 union all select o_orderkey, 'U', 2 from orders where o_orderkey % 3 = 0)")
+def instance_upsert(spark, d):
+    from ..streaming import incremental as inc
+
+    o = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.lit(1).alias("version"))
+    return inc.upsert(o, o.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("U").alias("o_orderstatus"), F.lit(2).alias("version")), "o_orderkey", "version")
+
+
+@query("select rows, cast(cast(rows as varchar) = cast((select count(*) from orders) as varchar) as boolean) as same from (select count(*) as rows from orders)")
+def content_hash_stable(spark, d):
+    o = load(spark, d, "orders")
+    a, b = governance.content_hash(o), governance.content_hash(o.orderBy(F.desc("o_orderkey"))).withColumnsRenamed({"rows": "r2", "content_hash": "h2"})
+    return a.join(F.broadcast(b)).select("rows", (F.col("content_hash") == F.col("h2")).alias("same"))
