@@ -61,17 +61,29 @@ def sources(orders: DataFrame, shipments: DataFrame, places: Places) -> DataFram
     return o.unionByName(s.mapInPandas(place, "src_table string, src_key string, key string, klass string, hint string"))
 
 
-def fit_mixture(x: np.ndarray, n: np.ndarray, g: np.ndarray, ridge: float) -> np.ndarray:
-    """One maximisation and expectation: log odds of every vector from its counts ``n`` and matched counts ``g``."""
+#: Where matched and unmatched pairs are expected before any are seen, in the order of ``FEATURES``: agreement, and little of it.
+EXPECTED = ((1.0, 0.8, 0.9, 0.7, 0.7, 0.6), (0.9, 0.25, 0.25, 0.35, 0.4, 0.4))
+
+
+def fit_mixture(x: np.ndarray, n: np.ndarray, g: np.ndarray, ridge: float, expected: tuple | None = None, weight: float = 20.0) -> np.ndarray:
+    """One maximisation and expectation: log odds of every vector from its counts ``n`` and matched counts ``g``.
+
+    The covariances are regularised by ``ridge`` and, given ``expected``
+    means, both components by a conjugate prior worth ``weight`` pairs.
+    """
     out = []
-    for w in (g, n - g):
+    k = weight if expected else 0.0
+    for i, w in enumerate((g, n - g)):
         total = max(w.sum(), 1e-9)
-        mu = (w[:, None] * x).sum(0) / total
+        mean = (w[:, None] * x).sum(0) / total
+        mu0 = np.asarray(expected[i]) if expected else mean
+        mu = (total * mean + k * mu0) / (total + k)
+        d = x - mean
+        off = (mean - mu0)[:, None]
+        cov = ((w[:, None] * d).T @ d + k * ridge * np.eye(x.shape[1]) + total * k / (total + k) * (off @ off.T)) / (total + k) + ridge * np.eye(x.shape[1])
         d = x - mu
-        cov = (w[:, None] * d).T @ d / total
-        cov = cov + ridge * np.eye(x.shape[1])
-        sign, det = np.linalg.slogdet(cov)
-        out.append(np.log(max(total / n.sum(), 1e-9)) - 0.5 * det - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+        _, det = np.linalg.slogdet(cov)
+        out.append(np.log((total + k) / (n.sum() + 2 * k)) - 0.5 * det - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
     return np.clip(out[0] - out[1], -50, 50)
 
 
@@ -131,7 +143,7 @@ def match_companies(orders: DataFrame, shipments: DataFrame, entities: DataFrame
         sure = (x[:, 0] >= 0.9) & (x[:, 1] >= 0.5) & (x[:, 2] >= 0.5)
         g = n * np.where(sure, 0.9, 0.05)
         for _ in range(rounds):
-            odds = fit_mixture(x, n, g, ridge)
+            odds = fit_mixture(x, n, g, ridge, EXPECTED)
             table = spark.createDataFrame(pd.concat([grid[list(FEATURES)], pd.DataFrame({"odds": odds})], axis=1))
             judged = pairs.join(F.broadcast(table), list(FEATURES)).withColumn("g", 1 / (1 + F.exp(-F.col("odds"))))
             top = F.max("g").over(W.partitionBy("l"))
