@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions.columns import folded_key
+from ..session import scratch
 
 
 def keyword_search(df: DataFrame, cols: list[str], query: str) -> DataFrame:
@@ -39,16 +41,21 @@ def vector_topk(vectors: DataFrame, vec_id: str, vec: str, query: list[float], k
 def nearest_in_bulk(vectors: DataFrame, vec_id: str, vec: str, queries: DataFrame, k: int = 10, block: int = 1000) -> DataFrame:
     """The ``k`` nearest of all vectors to every query: ``query_id, id, rank, score``; the query itself left out.
 
-    Queries come in blocks, each multiplied with every batch of vectors as a
-    matrix; a task keeps k candidates per query, the rest is one aggregate.
+    Queries are streamed to the driver in blocks, each multiplied with every
+    batch of vectors as a matrix; a task keeps k candidates per query, the
+    rest is one aggregate. Results of a block are written before the next.
     """
     import numpy as np
 
-    out = None
-    rows = queries.select(F.col(vec_id).alias("i"), F.col(vec).alias("v")).where("v is not null").orderBy("i").collect()
-    for at in range(0, len(rows), block):
-        ids = np.array([r.i for r in rows[at:at + block]])
-        q = np.array([r.v for r in rows[at:at + block]], dtype=np.float64)
+    spark = vectors.sparkSession
+    base = scratch(spark)
+    data = vectors.where(F.col(vec).isNotNull()).select(F.col(vec_id).cast("long").alias("i"), F.col(vec).alias("v"))
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    rows = queries.select(F.col(vec_id).alias("i"), F.col(vec).alias("v")).where("v is not null").toLocalIterator()
+    n = 0
+    while chunk := list(islice(rows, block)):
+        ids = np.array([r.i for r in chunk])
+        q = np.array([r.v for r in chunk], dtype=np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
 
         def score(it: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
@@ -57,17 +64,17 @@ def nearest_in_bulk(vectors: DataFrame, vec_id: str, vec: str, queries: DataFram
                 m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
                 s, own = q @ m.T, pdf["i"].to_numpy()
                 s[ids[:, None] == own[None, :]] = -2.0
-                n = min(k, s.shape[1])
-                top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                r = np.repeat(np.arange(len(ids)), n)
+                c = min(k, s.shape[1])
+                top = np.argpartition(-s, c - 1, axis=1)[:, :c]
+                r = np.repeat(np.arange(len(ids)), c)
                 yield pd.DataFrame({"query_id": ids[r], "id": own[top.ravel()], "score": s[r, top.ravel()]})
 
-        part = vectors.where(F.col(vec).isNotNull()).select(F.col(vec_id).cast("long").alias("i"), F.col(vec).alias("v")).mapInPandas(score, "query_id long, id long, score double").where("score > -1.5")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, rank int, score double")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+        part = data.mapInPandas(score, "query_id long, id long, score double").where("score > -1.5")
+        part = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        part.select("query_id", "id", "rank", F.round("score", 6).alias("score")).write.parquet(f"{base}/block={n}")
+        n += 1
+    schema = "query_id long, id long, rank int, score double"
+    return spark.read.schema(schema).parquet(*[f"{base}/block={i}" for i in range(n)]) if n else spark.createDataFrame([], schema)
 
 
 def lexical_scores(df: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
@@ -88,27 +95,26 @@ def hybrid_score(semantic: Column, lexical: Column, confidence: Column, recency:
     return F.when(semantic.isNotNull(), both).otherwise(words)
 
 
-def diverse_picks(scored: DataFrame, group: str, count: int = 5, budget: int = 1000) -> DataFrame:
+def diverse_picks(scored: DataFrame, group: str, count: int = 5, budget: int = 1000, pool: int = 100) -> DataFrame:
     """Per group up to ``count`` picks ``id, pick`` within a token budget, each as good and as unlike the earlier ones as can be.
 
     ``scored`` has ``id, score, cosine`` (null without a similarity) and
-    ``tokens``. The choice is sequential; only as many candidates per group as
-    could ever be chosen are handed to it: the ``count * 20`` best ones that
-    fit the budget at all.
+    ``tokens``. Recall is a top-k feature: the sequential choice is made among
+    the ``pool`` best of a group that fit the budget at all.
     """
     w = W.partitionBy(group).orderBy(F.desc("score"), "id")
-    x = scored.where(F.col("tokens") <= budget).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= count * 20)
+    x = scored.where(F.col("tokens") <= budget).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= pool)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = list(pdf.sort_values(["score", "id"], ascending=[False, True]).itertuples())
+        rest = list(pdf.sort_values(["score", "id"], ascending=[False, True]).itertuples())
         left, picked, out = budget, [], []
-        while pool and len(out) < count:
+        while rest and len(out) < count:
             def worth(c):
                 if c.cosine is None or c.cosine != c.cosine:
                     return c.score
                 return 0.75 * c.score - 0.25 * max((1 - abs(c.cosine - p) for p in picked), default=0.0)
-            best = max(pool, key=lambda c: (worth(c), c.score, -pool.index(c)))
-            pool.remove(best)
+            best = max(rest, key=lambda c: (worth(c), c.score, -rest.index(c)))
+            rest.remove(best)
             if best.tokens > left:
                 continue
             left -= best.tokens
