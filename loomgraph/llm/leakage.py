@@ -1,13 +1,13 @@
-"""Evaluation passages inside a corpus, by a distributed positional inverted index.
-
-Terms are runs of ``n`` characters of the folded text without white space,
-marks and markup, so line breaks, tables, full-width digits and script make no
-difference. Document frequencies of all test terms are counted over the whole
-corpus; each test sentence is represented by its rarest terms, and postings
-with positions are stored for those. Lists are intersected after shifting them
-by the term's offset in the item: (item, document) pairs whose shifted lists
-meet are candidates, exact phrases where all meet in one place. Candidates are
-then aligned sentence by sentence for exact and lightly edited occurrences.
+"""Evaluation passages inside a corpus, by a positional index of the passages.
+
+Terms are runs of 3, 4 and 6 characters of the folded text without white
+space, marks and markup, so line breaks, tables, full-width digits and script
+make no difference. All terms of all test items are indexed with their
+positions, none is left out for being common, and every document is read once
+against the index: the positions of an item that lie in terms of the document
+bound what an alignment could find (see ``Screen``). Only pairs whose bounds
+reach a limit are then aligned sentence by sentence for exact and lightly
+edited occurrences, so the result is that of aligning every pair.
 """
 
 from __future__ import annotations
@@ -23,10 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut
 from .cn import simplified
 
-N = 8
 _MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>")
 _SKIP = re.compile(r"[\W_]+")
 _SENT = re.compile(r"(?<=[。？！])|(?<=[.?!])\s+(?=[A-Z])|\n+")
@@ -84,66 +82,6 @@ class _Terms:
         return k[self.terms[at] == h[k]]
 
 
-def query_terms(items: list[tuple[int, str]], n: int = N) -> pd.DataFrame:
-    """``item_id, sent, pos, term`` of all test terms."""
-    out = []
-    for i, t in items:
-        at = 0
-        for k, s in enumerate(x for x in _SENT.split(t or "") if plain(x)):
-            p = plain(s)
-            h, _, pos = _hashes([p], n)
-            out += [(i, k, at + int(j), int(x)) for x, j in zip(h, pos)]
-            at += len(p)
-    return pd.DataFrame(out, columns=["item_id", "sent", "pos", "term"]).astype("int64")
-
-
-def document_frequencies(docs: DataFrame, terms: np.ndarray, n: int = N, text_col: str = "text") -> DataFrame:
-    """``term, df`` over all documents."""
-
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Terms(terms)
-        total = np.zeros(len(known.terms), dtype=np.int64)
-        for pdf in it:
-            h, row, _ = _hashes([plain(t) for t in pdf["t"]], n)
-            k = known.find(h)
-            if len(k):
-                at = np.searchsorted(known.terms, h[k])
-                each = np.unique(at * (len(pdf) + 1) + row[k]) // (len(pdf) + 1)
-                total += np.bincount(each, minlength=len(total))
-        m = total > 0
-        yield pd.DataFrame({"term": known.terms[m], "df": total[m]})
-
-    return docs.select(F.col(text_col).alias("t")).mapInPandas(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-
-
-def postings(docs: DataFrame, terms: np.ndarray, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The positional index: ``term, doc_id, positions`` (sorted) for the given terms, over all documents."""
-
-    def post(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Terms(terms)
-        for pdf in it:
-            h, row, pos = _hashes([plain(t) for t in pdf["t"]], n)
-            k = known.find(h)
-            ids = pdf["i"].to_numpy()
-            yield pd.DataFrame({"term": h[k], "doc_id": ids[row[k]], "pos": pos[k]})
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInPandas(post, "term long, doc_id long, pos int")
-    return rows.groupBy("term", "doc_id").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
-
-
-def rarest(query: pd.DataFrame, df: dict[int, int], per_sentence: int = 6, apart: int = 3) -> pd.DataFrame:
-    """The rarest terms of each test sentence that lie at least ``apart`` characters from one another."""
-    keep = []
-    q = query.assign(df=query["term"].map(df).fillna(0).astype("int64"))
-    for _, g in q[q["df"] > 0].sort_values(["df", "pos"]).groupby(["item_id", "sent"]):
-        chosen: list[int] = []
-        for r in g.itertuples():
-            if len(chosen) < per_sentence and all(abs(r.pos - c) >= apart for c in chosen):
-                chosen.append(r.pos)
-                keep.append((r.item_id, r.sent, r.pos, r.term, r.df))
-    return pd.DataFrame(keep, columns=["item_id", "sent", "pos", "term", "df"]).astype("int64")
-
-
 class Passage:
     """One test item, ready to be looked for in documents."""
 
@@ -218,54 +156,160 @@ class Passage:
         return int(best)
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, n: int = N, stretch: int = 60, stretch_english: int = 140, least_terms: int = 3, broadcast_rows: int = 200_000, max_terms: int = 5_000_000,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``item_id, doc_id, sentences, stretch, shared_terms`` of documents that hold a test item.
+class Screen:
+    """Which test items a document may hold, by bounds that no held item can miss.
+
+    The terms of all items are indexed with their positions. What ``match``
+    finds lies in equal runs within one sentence: 3 characters at least for
+    the cover of a sentence, ``least`` for its facts and for stretches. So the
+    positions that lie in a run of that length standing anywhere in the
+    document are an upper bound for all three, and no pair is left out that
+    ``match`` would accept.
+    """
+
+    def __init__(self, passages: list[Passage], stretch: int, stretch_english: int, cover: float = 0.8, facts: float = 0.7):
+        self.ps, self.cover, self.facts = passages, cover, facts
+        self.need = [stretch_english if p.english else stretch for p in passages]
+        sents = [(i, s) for e in (False, True) for i, p in enumerate(passages) if p.english == e for _, s in p.sents]
+        self.item = np.array([i for i, _ in sents], dtype=np.int64)
+        self.len = np.array([len(s) for _, s in sents], dtype=np.int64)
+        # sentences begin at whole bytes, so that packed bits can be counted by sentence
+        room = -(-self.len // 8) * 8
+        self.at = np.cumsum(room) - room
+        self.where = [np.concatenate([np.arange(a, a + k) for a, k in zip(self.at[self.item == i], self.len[self.item == i])] or [np.zeros(0, dtype=np.int64)]) for i in range(len(passages))]
+        q = "".join(s.ljust(r) for (_, s), r in zip(sents, room))
+        english = np.repeat(np.array([passages[i].english for i, _ in sents], dtype=bool), room)
+        self.size = len(q)
+        self.grams = []
+        for n, where in ((3, None), (4, ~english), (6, english)):
+            h, row, pos = _hashes([s for _, s in sents], n)
+            p = self.at[row] + pos
+            if where is not None:
+                h, p = h[where[p]], p[where[p]]
+            known = _Terms(h)
+            lo, hi = (int(p.min()), int(p.max()) + n) if len(p) else (0, 0)
+            of = np.full(hi - lo, len(known.terms), dtype=np.int64)  # the last one is never present
+            of[p - lo] = np.searchsorted(known.terms, h)
+            self.grams.append((n, known, of, lo))
+        self.digit = np.packbits(np.array([c.isdigit() for c in q], dtype=bool))
+        self.n_digits = self._count(self.digit)
+        self.n_sents = np.bincount(self.item, minlength=len(passages))
+        self.wanted = np.minimum(2, self.n_sents)
+        self.raw = [np.array(p.raw_at, dtype=np.int64) for p in passages]
+        self.pad = np.packbits(np.array([c == " " for c in q], dtype=bool))
+        self.byte_item = np.repeat(self.item, room // 8)
+        # a stretch fills so many whole bytes in a row, but for its misses
+        self.filled: list[tuple[np.ndarray, int, int]] = []
+        for e in (False, True):
+            few, many, mine = 1 << 30, 0, np.zeros(len(passages), dtype=bool)
+            for i, raw in enumerate(self.raw):
+                j = np.searchsorted(raw, raw + self.need[i] - 1)
+                k = (j - np.arange(len(raw)))[j < len(raw)] + 1
+                if passages[i].english == e and len(k):
+                    few, many, mine[i] = min(few, k.min()), max(many, k.max()), True
+            if mine.any():
+                w = max(0, (int(few) - 7) // 8)
+                self.filled.append((mine, w, 8 * w - int(0.08 * (many + 5) + 2)))
+
+    def _count(self, packed: np.ndarray) -> np.ndarray:
+        """Bits set in each sentence."""
+        return np.add.reduceat(np.bitwise_count(packed), self.at // 8, dtype=np.int64) if len(self.at) else np.zeros(0, dtype=np.int64)
+
+    def find(self, docs: list[str]) -> Iterator[list[int]]:
+        """For each document (plain), the numbers of the items it may hold."""
+        hits = []
+        for n, known, _, _ in self.grams[1:]:
+            h, row, _ = _hashes(docs, n)
+            k = known.find(h)
+            hits.append((np.searchsorted(known.terms, h[k]), np.searchsorted(row[k], np.arange(len(docs) + 1))))
+        for d, doc in enumerate(docs):
+            t4, t6 = (t[b[d]:b[d + 1]] for t, b in hits)
+            runs = np.zeros(self.size, dtype=bool)
+            self._cover(runs, 1, t4)
+            self._cover(runs, 2, t6)
+            yield self._items(runs, doc) if len(t4) or len(t6) else []
+
+    def _cover(self, out: np.ndarray, g: int, terms: np.ndarray) -> None:
+        """Mark the positions of the items that lie in one of the terms."""
+        n, known, of, lo = self.grams[g]
+        if len(terms):
+            there = np.zeros(len(known.terms) + 1, dtype=bool)
+            there[terms] = True
+            a = there[of]
+            for i in range(n):
+                out[lo + i:lo + len(a)] |= a[:len(a) - i]
+
+    def _items(self, runs: np.ndarray, doc: str) -> list[int]:
+        bits = np.packbits(runs)
+        maybe = self._count(bits & self.digit) >= self.facts * self.n_digits - 1e-6
+        enough = lambda: np.bincount(self.item[maybe], minlength=len(self.ps)) >= self.wanted
+        out = set()
+        if np.any(enough()):
+            _, known, _, _ = self.grams[0]
+            h, _, _ = _hashes([doc], 3)
+            wide = np.zeros(self.size, dtype=bool)
+            self._cover(wide, 0, np.searchsorted(known.terms, h[known.find(h)]))
+            maybe &= self._count(np.packbits(wide)) >= self.cover * self.len - 1e-6
+            out.update(np.flatnonzero(enough() & (self.n_sents > 0)).tolist())
+        total = np.concatenate([[0], np.cumsum(np.bitwise_count(bits | self.pad), dtype=np.int64)])
+        for mine, w, least in self.filled:
+            here = self.byte_item[:len(total) - w][total[w:] - total[:-w] >= least] if w else self.byte_item
+            for i in sorted(set(here[mine[here]].tolist()) - out):
+                if self._may_stretch(runs[self.where[i]], i):
+                    out.add(i)
+        return sorted(out)
+
+    def _may_stretch(self, runs: np.ndarray, i: int) -> bool:
+        """Whether the positions of ``runs`` hold a stretch, by the gaps and misses that ``Passage._stretch`` allows."""
+        at = np.flatnonzero(runs)
+        raw = self.raw[i][at]
+        ends = np.flatnonzero(np.diff(at) > 5) + 1
+        for a, b in zip(np.concatenate([[0], ends]), np.concatenate([ends, [len(at)]])):
+            if b == a or raw[b - 1] - raw[a] + 1 < self.need[i]:
+                continue
+            p = at[a:b]
+            slack = p - np.arange(b - a) - 0.08 * p  # misses so far less those allowed
+            top = np.maximum.accumulate(slack)
+            last = np.searchsorted(raw[a:b], raw[a:b] - self.need[i] + 1, side="right") - 1
+            ok = last >= 0
+            if np.any(slack[ok] - top[last[ok]] <= 2.08 + 1e-6):
+                return True
+        return False
+
+
+def leaked_passages(docs: DataFrame, items: DataFrame, stretch: int = 60, stretch_english: int = 140, max_terms: int = 5_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``item_id, doc_id, sentences, stretch`` of documents that hold a test item.
 
     A document holds an item if it holds two of its sentences or more, a
     stretch of ``stretch`` characters (``stretch_english`` in English items),
     or a one-sentence item whole; also reordered, reformatted, lightly edited
     or amid other text. The items are a stated query set: they are read to the
-    driver and may have ``max_terms`` terms at most (split larger sets). All
-    documents are indexed. Null and empty texts hold nothing, items that are
-    empty are in no document, repeated rows give one row.
+    driver and may have ``max_terms`` characters at most (split larger sets);
+    the work for a document grows with them. All documents are read. Null and
+    empty texts hold nothing, items that are empty are in no document, repeated
+    rows give one row.
     """
     rows = sorted({(int(r[0]), r[1]) for r in items.where("item_id is not null and text is not null").select("item_id", "text").collect()})
-    q = query_terms(rows, n)
-    if len(q) > max_terms:
-        raise ValueError(f"{len(q)} test terms; split the test items into sets of at most {max_terms}")
-    spark = docs.sparkSession
-    terms = q["term"].to_numpy()
-    df = {r.term: r.df for r in document_frequencies(docs, terms, n, text_col).collect()}
-    query = rarest(q, df)
-    chosen = query["term"].unique()
-    index = cut(postings(docs, chosen, n, id_col, text_col))
-    qt = spark.createDataFrame(query[["item_id", "sent", "pos", "term"]].values.tolist(), "item_id long, sent long, pos long, term long")
-    shifted = index.join(F.broadcast(qt) if len(query) < 1_000_000 else qt, "term").select("item_id", "doc_id", "sent", "pos", F.explode("positions").alias("at"))
-    met = shifted.groupBy("item_id", "doc_id", F.floor((F.col("at") - F.col("pos")) / 16).alias("shift")).agg(F.countDistinct("pos").alias("n"))
-    cand = met.groupBy("item_id", "doc_id").agg(F.sum("n").alias("shared_terms")).where(F.col("shared_terms") >= least_terms)
-    by_doc = cut(cand.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shared_terms")).alias("items")))
-    if by_doc.count() <= broadcast_rows:  # else the texts are shuffled to their candidates
-        by_doc = F.broadcast(by_doc)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).join(by_doc, "doc_id")
-    by_item = dict(rows)
+    size = sum(len(plain(t)) for _, t in rows)
+    if size > max_terms:
+        raise ValueError(f"{size} test terms; split the test items into sets of at most {max_terms}")
+    rows = [(i, t) for i, t in rows if plain(t)]
 
     def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready: dict[int, Passage] = {}
+        passages = [Passage(t) for _, t in rows]
+        screen = Screen(passages, stretch, stretch_english)
         for pdf in it:
             out = []
-            for d, t, xs in zip(pdf["doc_id"], pdf["t"], pdf["items"]):
-                s = plain(t)
-                for x in xs:
-                    i = x["item_id"]
-                    if i not in ready:
-                        ready[i] = Passage(by_item[i])
-                    p = ready[i]
-                    hit, run = p.match(s)
-                    if hit >= min(2, len(p.sents)) or run >= (stretch_english if p.english else stretch):
-                        out.append((i, d, hit, run, x["shared_terms"]))
-            yield pd.DataFrame(out, columns=["item_id", "doc_id", "sentences", "stretch", "shared_terms"])
-
-    return texts.mapInPandas(verify, "item_id long, doc_id long, sentences int, stretch int, shared_terms long").dropDuplicates(["item_id", "doc_id"])
-
-
+            for k in range(0, len(pdf), 500):
+                part = pdf.iloc[k:k + 500]
+                texts = [plain(t) for t in part["t"]]
+                for d, s, held in zip(part["doc_id"], texts, screen.find(texts)):
+                    for i in held:
+                        p = passages[i]
+                        hit, run = p.match(s)
+                        if hit >= min(2, len(p.sents)) or run >= screen.need[i]:
+                            out.append((rows[i][0], d, hit, run))
+            yield pd.DataFrame(out, columns=["item_id", "doc_id", "sentences", "stretch"])
+
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+    return texts.mapInPandas(verify, "item_id long, doc_id long, sentences int, stretch int").dropDuplicates(["item_id", "doc_id"])

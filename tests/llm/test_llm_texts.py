@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from loomgraph.llm.leakage import Passage, leaked_passages, plain
+from loomgraph.llm.leakage import Passage, Screen, leaked_passages, plain
 from loomgraph.llm.packing import pack, pack_histogram, token_counts
 from loomgraph.llm.residue import residue, template_residue
 
@@ -101,3 +101,27 @@ def test_leaks(spark):
     got = sorted((r.item_id, r.doc_id) for r in leaked_passages(d, items).collect())
     assert got == [(10, 1), (10, 2), (11, 6)]
     assert leaked_passages(d.where("false"), items).count() == 0 and leaked_passages(d, items.where("false")).count() == 0
+
+
+def test_leaks_as_by_aligning_all(spark):
+    rng = random.Random(5)
+    whole = plain(ITEM)
+    texts = [whole[k:k + 62] for k in range(0, len(whole) - 62, 3)]  # stretches from anywhere, marks gone
+    texts += [ITEM[k:k + 64] for k in range(0, len(ITEM) - 64, 5)] + [EN[k:k + 145] for k in range(0, len(EN) - 145, 9)]
+    for n in (3, 6, 9, 12, 20):  # edited again and again, so that no long run is left
+        for t in (ITEM, EN):
+            texts += ["".join("某" if i % n == k else c for i, c in enumerate(t)) for k in (0, 2)] + ["".join(c if rng.random() > 1 / n else "" for c in t)]
+    items = [(10, ITEM), (11, EN)]
+    # other documents make the terms at the edges of the sentences the rare ones
+    docs = [(k, t, "") for k, t in enumerate(texts)] + [(1000 + k, ITEM[40:110] + str(k), "") for k in range(5)]
+    want = set()
+    for d, t, _ in docs:
+        for i, x in items:
+            p = Passage(x)
+            hit, run = p.match(plain(t))
+            if hit >= min(2, len(p.sents)) or run >= (140 if p.english else 60):
+                want.add((i, d))
+    got = {(r.item_id, r.doc_id) for r in leaked_passages(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and 20 < len(want) < len(docs)
+    other = ITEM.replace("72300", "11846").replace("2023年2月17日", "2024年8月3日").replace("56", "19").replace("89万", "417万").replace("2025年5月2日", "2021年1月9日").replace("78.9", "3.3")
+    assert list(Screen([Passage(ITEM)], 60, 140).find([whole, "", plain(other)]))[:2] == [[0], []]
