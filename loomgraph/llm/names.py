@@ -44,11 +44,11 @@ def qgrams(s: str, q: int = 2) -> set[str]:
     return {p[i:i + q] for i in range(len(p) - q + 1)}
 
 
-def minhash_pairs(keys: DataFrame, similarity: float = 0.4, recall: float = 0.95, seed: int = 7) -> DataFrame:
-    """Candidate pairs ``a, b`` (a != b) of the strings in column ``s``.
+def minhash_pairs(keys: DataFrame, similarity: float = 0.4, recall: float = 0.98, seed: int = 7) -> DataFrame:
+    """Candidate pairs ``a, b`` (a < b) of the strings in column ``s``.
 
-    Where ``keys`` has a column ``asks``, only strings with it are looked up,
-    against all; a column ``kind`` keeps strings of different kinds apart.
+    Each distinct string is looked up once, against all; a column ``kind``
+    keeps strings of different kinds apart.
     """
     bands, rows = tune(similarity, recall)
     rng = np.random.default_rng(seed)
@@ -68,25 +68,30 @@ def minhash_pairs(keys: DataFrame, similarity: float = 0.4, recall: float = 0.95
                 h = ((v[:, None] * mul + add) >> np.uint64(20)).min(axis=0).reshape(bands, rows)
                 h = (h * mix).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + band * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(xxhash.xxh64_intdigest(kind))
                 hs.append(((h ^ (h >> np.uint64(31))) >> np.uint64(1)).astype(np.int64))
-            yield pd.DataFrame({"s": np.repeat(pdf["s"].to_numpy(), bands), "asks": np.repeat(pdf["asks"].to_numpy(), bands), "h": np.concatenate(hs) if hs else np.zeros(0, dtype=np.int64)})
+            yield pd.DataFrame({"s": np.repeat(pdf["s"].to_numpy(), bands), "h": np.concatenate(hs) if hs else np.zeros(0, dtype=np.int64)})
 
-    for c, v in (("asks", F.lit(True)), ("kind", F.lit(""))):
-        if c not in keys.columns:
-            keys = keys.withColumn(c, v)
-    m = cut(keys.select("s", "asks", "kind").distinct().repartition(keys.sparkSession.sparkContext.defaultParallelism).mapInPandas(sign, "s string, asks boolean, h long"))
-    x, y = m.where("asks").select(F.col("s").alias("a"), "h"), m.select(F.col("s").alias("b"), "h")
-    return x.join(y, "h").where("a != b and abs(length(a) - length(b)) <= 3").select("a", "b").distinct()
+    if "kind" not in keys.columns:
+        keys = keys.withColumn("kind", F.lit(""))
+    m = cut(keys.select("s", "kind").distinct().repartition(keys.sparkSession.sparkContext.defaultParallelism).mapInPandas(sign, "s string, h long"))
+    x, y = m.select(F.col("s").alias("a"), "h"), m.select(F.col("s").alias("b"), "h")
+    return x.join(y, "h").where("a < b and abs(length(a) - length(b)) <= 3").select("a", "b").distinct()
 
 
 def sound_keys(brand: str, latin: bool, text: str) -> set[str]:
-    """Keys under which a brand's sound is looked up exactly: all readings of its characters, without the differences of close sounds."""
+    """Keys under which a brand's sound is looked up exactly: all readings of its characters, without the differences of close sounds.
+
+    Syllables are folded before they are joined, for ``ping an`` and ``pin an``
+    are close though a vowel follows; letters may be divided either way.
+    """
     fold = lambda s: re.sub(r"([aei]n)g(?![aeiou])", r"\1", re.sub(r"([zcs])h", r"\1", s))
-    if latin:
-        return {fold(text)}
     out = {""}
+    if latin:
+        for part in re.split(r"((?<=[aei]n)g(?=[aeiou]))", fold(text)):
+            out = {o + r for o in out for r in ({"", "g"} if part == "g" else {part})}
+        return out
     for c in brand:
-        rs = sounds(c) if "一" <= c <= "鿿" else {c.lower()}
-        out = {o + r for o in out for r in rs} if len(out) < 16 else {o + pinyin(c) for o in out}
+        rs = {fold(r) for r in sounds(c)} if "一" <= c <= "鿿" else {c.lower()}
+        out = {o + r for o in out for r in rs} if len(out) < 16 else {o + fold(pinyin(c)) for o in out}
     return {fold(o) for o in out}
 
 
@@ -213,9 +218,8 @@ def person_similarity(f1: str, l1: str, f2: str, l2: str) -> float:
 def sound_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of sounds that may be one name, each sound with itself among them.
 
-    Names in characters that sound alike have equal keys and need no
-    comparison. MinHash looks up what may be slipped letters: brands in
-    letters that no brand in characters sounds like, and all surnames.
+    Names that sound alike have equal keys and need no comparison. MinHash
+    looks up every distinct sound for slipped letters.
     """
 
     def keys(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,9 +229,7 @@ def sound_pairs(nodes: DataFrame) -> DataFrame:
 
     n = cut(nodes.where("letters != ''").select("letters", "kind", F.when(F.col("kind") == "org", F.col("brand")).otherwise(F.lit("")).alias("brand"), "latin").distinct().mapInPandas(keys, "letters string, kind string, sk string, latin boolean"))
     same = n.select(F.col("letters").alias("a"), "kind", "sk").distinct().join(n.select(F.col("letters").alias("b"), "kind", "sk").distinct(), ["kind", "sk"]).where("a <= b").select("a", "b")
-    asks = n.where("latin").join(n.where("not latin").select("kind", "sk").distinct(), ["kind", "sk"], "left_anti").select(F.col("letters").alias("s"), "kind").distinct().withColumn("asks", F.lit(True))
-    keys_ = n.select(F.col("letters").alias("s"), "kind").distinct().join(asks, ["s", "kind"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    slips = minhash_pairs(keys_).where(F.levenshtein("a", "b", 2) >= 0).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    slips = minhash_pairs(n.select(F.col("letters").alias("s"), "kind").distinct()).where(F.levenshtein("a", "b", 3) >= 0).select("a", "b")
     return same.unionByName(slips).distinct()
 
 

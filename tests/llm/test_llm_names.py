@@ -105,3 +105,11 @@ def test_mixture_separates():
     odds = fit_mixture(x, np.array([5.0, 5, 50, 50]), np.array([4.5, 4.5, 2, 2]), 0.02)
     assert (odds[:2] > 0).all() and (odds[2:] < 0).all()
     assert D
+
+
+def test_every_sound_is_looked_up(spark):
+    brands = [("安平", False), ("安明", False), ("anming", True), ("宁德", False)]
+    nodes = spark.createDataFrame([("org", b, names.letters(b), la) for b, la in brands], "kind string, brand string, letters string, latin boolean")
+    assert ("anming", "anping") in {(r.a, r.b) for r in names.sound_pairs(nodes).collect()}  # though another brand sounds like the slip
+    a, b = (names.sound_keys(x, False, names.letters(x)) for x in ("平安", "品安"))
+    assert a & b and a & names.sound_keys("pingan", True, "pingan") and names.sound_keys("品干", False, "pingan") & names.sound_keys("pingan", True, "pingan")
