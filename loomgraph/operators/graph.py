@@ -38,14 +38,18 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFra
     return seen.where("hops > 0")
 
 
-def distances(edges: DataFrame, source: str, most: int = 50) -> DataFrame:
-    """``node, hops`` of every node within ``most`` undirected hops of one node, itself included."""
+def distances(edges: DataFrame, source: str, most: int | None = None, target: str | None = None) -> DataFrame:
+    """``node, hops`` of every node that undirected hops from one node reach, itself included; up to ``most`` hops or until ``target`` is reached, where given."""
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
     near = cut(both_ways(edges))
     seen = spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.lit(0).alias("hops"))
     front = seen
-    for k in range(1, most + 1):
+    k = 0
+    while most is None or k < most:
+        if target is not None and not front.where(F.col("node").cast("string") == str(target)).isEmpty():
+            break
+        k += 1
         front = cut(near.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
         if front.isEmpty():
             break
@@ -53,9 +57,9 @@ def distances(edges: DataFrame, source: str, most: int = 50) -> DataFrame:
     return seen
 
 
-def path_length(edges: DataFrame, source: str, target: str, most: int = 50) -> DataFrame:
-    """One row: the hops of the shortest undirected path, -1 if there is none."""
-    d = distances(edges, source, most).where(F.col("node").cast("string") == str(target))
+def path_length(edges: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:
+    """One row: the hops of the shortest undirected path, -1 if there is none (within ``most`` hops, where given)."""
+    d = distances(edges, source, most, target).where(F.col("node").cast("string") == str(target))
     return d.agg(F.coalesce(F.min("hops"), F.lit(-1)).cast("long").alias("hops"))
 
 

@@ -74,7 +74,7 @@ def khop_neighbors(spark, d):
 def shortest_path(spark, d):
     e = _edges(spark, d)
     r = graph.both_ways(e).agg(F.min("src"), F.max("src")).first()
-    return graph.path_length(e, r[0], r[1], 12)
+    return graph.path_length(e, r[0], r[1])
 
 
 @query("""with recursive ids as (select distinct id from entities), n as (select distinct * from (select source_entity as s, target_entity as t from relations union all select target_entity, source_entity from relations) where s <> t and s in (select id from ids) and t in (select id from ids) ),

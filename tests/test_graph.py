@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 from loomgraph.operators import graph
+from loomgraph.plans import catalogue_graph
 
 
 def E(spark, pairs):
@@ -44,3 +45,9 @@ def test_degrees_and_quality(spark):
     assert (q.isolated, q.duplicates, q.orphans) == (1, 2, 0)
     d = graph.diagnostics(nodes, E(spark, [("a", "b"), ("a", "ghost")])).first()
     assert (d.entity_count, d.edge_count, d.connected_components, d.isolated_entity_count) == (3, 1, 2, 1)
+
+
+def test_path_of_more_than_twelve_hops(spark, tmp_path):
+    pairs = [(f"n{i:02}", f"n{i + 1:02}", "o", "t") for i in range(13)]
+    spark.createDataFrame(pairs, "source_entity string, target_entity string, ontology_id string, type string").coalesce(1).write.parquet(str(tmp_path / "relations.parquet"))
+    assert catalogue_graph.shortest_path(spark, str(tmp_path)).first()[0] == 13
