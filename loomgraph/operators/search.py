@@ -157,8 +157,17 @@ def resolution_plan(orphans: DataFrame, anchors: DataFrame, name: str, auto: flo
     a = anchors.select(F.col(name).alias("anchor"), folded_key(name).alias("ak")).where("ak != ''").distinct()
     same = o.join(a, o["k"] == a["ak"]).select("name", "anchor", F.lit(1.0).alias("score"))
     rest = o.join(same.select("name"), "name", "left_anti")
-    near = rest.withColumn("p", F.substring("k", 1, 3)).join(a.withColumn("p", F.substring("ak", 1, 3)), "p").where(
-        F.least(F.length("k"), F.length("ak")) >= review * F.greatest(F.length("k"), F.length("ak")))
+    # a close key keeps one of d + 1 pieces whole, d being the most edits its length allows; pieces are looked up by their first q characters
+    most = lambda n: int((1 - review) / review * n + 1e-9)
+    q = min((n // (most(n) + 1) for n in range(1, 1000) if most(n)), default=1)
+    fits = F.least(F.length("k"), F.length("ak")) >= review * F.greatest(F.length("k"), F.length("ak"))
+    if q:
+        d = F.floor((1 - review) / review * F.length("k") + 1e-9).cast("int")
+        x = rest.withColumn("d", d).where("d > 0").withColumn("p", F.explode(F.expr(f"transform(sequence(0, d), i -> substring(k, cast(floor(i * length(k) / (d + 1)) as int) + 1, {q}))")))
+        y = a.where(F.length("ak") >= q).withColumn("p", F.explode(F.expr(f"transform(sequence(1, length(ak) - {q - 1}), i -> substring(ak, i, {q}))")))
+        near = x.join(y, "p").where(fits).select("name", "k", "anchor", "ak").distinct()
+    else:  # so many edits that no piece need be left
+        near = rest.join(a, fits)
     near = near.select("name", "anchor", (1 - F.levenshtein("k", "ak") / F.greatest(F.length("k"), F.length("ak"))).alias("score")).where(F.col("score") >= review)
     best = same.unionByName(near).groupBy("name").agg(F.max_by(F.struct("anchor", "score"), F.struct("score", "anchor")).alias("b")).select("name", "b.*")
     action = F.when(F.col("score") >= auto, "merge").when(F.col("score") >= review, "review").otherwise("skip")

@@ -133,3 +133,12 @@ def test_pipeline(spark):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_resolution_without_prefix(spark):
+    from loomgraph.operators.search import resolution_plan
+
+    o = spark.createDataFrame([("xabcdefghij",), ("bcdefghij",), ("mnopqrstuw",), ("zzzzzzzz",)], "n string")
+    a = spark.createDataFrame([("abcdefghij",), ("mnopqrstuv",)], "n string")
+    got = {r.name: (r.anchor, r.action) for r in resolution_plan(o, a, "n").collect()}
+    assert got == {"xabcdefghij": ("abcdefghij", "review"), "bcdefghij": ("abcdefghij", "review"), "mnopqrstuw": ("mnopqrstuv", "review"), "zzzzzzzz": (None, "skip")}
