@@ -4,6 +4,7 @@ import random
 
 from loomgraph.llm.leakage import Passage, Screen, leaked_passages, plain
 from loomgraph.llm.packing import pack, pack_histogram, token_counts
+from loomgraph.llm import residue as residues
 from loomgraph.llm.residue import residue, template_residue
 
 DOC = "doc_id long, text string, extra string"
@@ -25,6 +26,25 @@ def test_residue():
         assert residue(t) == [], t
 
 
+def test_residue_misses_nothing_its_grammars_match():
+    for t in ("（待填写）", "(待补充)", "(在此输入)", "《待补充》", "（在此填写金额）", "数据库连接失败", "禁止访问", "访问被拒绝", "429 Too Many Requests", "400 Bad Request", "fatal: not a repository", "ORA-00001: unique constraint",
+              "java.lang.NullPointerException", "ＪＡＶＡ.lang.NullPointerException", "[your name]", "«客户名称»", "Occae ex ea consec sint dolor aliq ex aute duis."):
+        assert residue(t), t
+    assert residue("见《待补充协议》。") == ["placeholder"] and residue("见《补充协议》。") == []
+    for gs in residues.GRAMMARS.values():
+        for g in gs:
+            assert residues.required(g)
+
+
+def test_residue_density_and_surroundings():
+    assert residue("模板 {{客户名称}}{{合同编号}}{{签订日期}}") == ["placeholder"]  # full of fields: no explanation
+    assert residue("模板中的 {{客户名称}} 字段由工艺组维护，生成合同时会替换为实际名称，其余内容不变。") == []
+    assert residue("# 占位符语法\n\n在正文里用 {{客户名称}} 就能得到往来单位的全称，末尾会自动加上年份与序号。") == []
+    assert residue("# 合同\n\n在正文里用 {{客户名称}} 就能得到往来单位的全称，末尾会自动加上年份与序号。") == ["placeholder"]
+    assert residue("The desk counted 31 cases in which the page timed out and put them down to the late import of customs papers.") == []
+    assert residues.density("ab {{客户}} cd", residues.STRONG) == 0.6
+
+
 def test_residue_table(spark):
     df = spark.createDataFrame([(1, "请启用脚本，然后重新载入", "x"), (1, "请启用脚本，然后重新载入", "x"), (2, None, None), (3, "", ""), (4, "好" * 200_000, "")], DOC)
     assert [r.doc_id for r in template_residue(df).collect()] == [1, 1]
