@@ -143,3 +143,27 @@ def sounds(c: str) -> set[str]:
 def same_sound(a: str, b: str) -> bool:
     """Whether two characters share a reading."""
     return a == b or bool(sounds(a) & sounds(b))
+
+
+_CLASS: dict[str, str] = {}
+
+
+def plain_sound(s: str) -> str:
+    """A syllable or word without the differences of close sounds: front and back nasals, flat and curled initials."""
+    return re.sub(r"([aei]n)g(?![aeiou])", r"\1", re.sub(r"([zcs])h", r"\1", s))
+
+
+def sound_class(c: str) -> str:
+    """One name for all characters that may share a sound, directly or by way of characters with several readings."""
+    if not _CLASS:
+        for x, r in READINGS.items():
+            a, b = (_root(plain_sound(y)) for y in (r, pinyin(x)))
+            if a != b:
+                _CLASS[max(a, b)] = min(a, b)
+    return _root(plain_sound(pinyin(c)))
+
+
+def _root(s: str) -> str:
+    while s in _CLASS:
+        s = _CLASS[s]
+    return s

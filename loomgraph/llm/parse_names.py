@@ -22,22 +22,19 @@ _FORM = re.compile(r"(?:集团有限公司|股份有限公司|有限责任公司
 _FORM_EN = re.compile(r"[\s,.]*\b(?:co\.?\s*,?\s*ltd|company limited|limited|ltd|inc|corp|llc)\b[\s.]*$", re.I)
 _NOTE = re.compile(r"[-—–_/][一-鿿]{1,5}(?:部|区|处|组|科|店|库|中心|分部)$|\((?!有\))[^()]{1,8}\)$")
 #: Provinces and cities are learnt from the texts themselves; only the wordings they stand in are given.
-PLACE = re.compile(r"(?:^|省)([一-鿿]{2})市|\(([一-鿿]{2})市?\)(?=.)|登记地([一-鿿]{2})$|^位于([一-鿿]{2})的")
-PROVINCE = re.compile(r"^([一-鿿]{2})省")
+_AFTER = r"(?!场|政|区$|有限|股份|集团|公司)"
+PLACE = re.compile(rf"(?:^|省)([一-鿿]{{2,4}}?)市{_AFTER}|\(([一-鿿]{{2}})市?\)(?=.)|\(([一-鿿]{{3,4}})市\)(?=.)|登记地([一-鿿]{{2,4}})$|^位于([一-鿿]{{2,4}}?)的")
+PROVINCE = re.compile(r"^([一-鿿]{2,3}?)省")
 
 
 class Places:
-    """Cities and provinces, with the cities' pinyin."""
-
-    def __init__(self, cities: set[str], provinces: set[str]):
-        firsts, lasts = {}, {}
-        for c in cities:
-            firsts[c[0]] = firsts.get(c[0], 0) + 1
-            lasts[c[1]] = lasts.get(c[1], 0) + 1
-        self.cities = set(cities)
-        heads, tails = {a for a, n in firsts.items() if n > 1}, {b for b, n in lasts.items() if n > 3}
-        self.cities |= {a + b for a in heads for b in tails}
-        self.provinces = set(provinces)
+    """Cities and provinces, with the cities' pinyin, and the words for trades: those given and those learnt."""
+
+    def __init__(self, cities: set[str], provinces: set[str], trades: set[str] = frozenset()):
+        self.cities, self.provinces = set(cities), set(provinces)
+        self.words = sorted([*_WORDS, *((w, w) for w in trades)], key=lambda x: (-len(x[0]), x[0]))
+        self.lengths = sorted({len(c) for c in self.cities}, reverse=True)
+        self.prov_lengths = sorted({len(c) for c in self.provinces}, reverse=True)
         self.latin = {}
         for c in sorted(self.cities):
             self.latin.setdefault("".join(map(pinyin, c)), []).append(c)
@@ -47,6 +44,17 @@ class Places:
         """Cities written ``s``; else those one slip away."""
         return self.latin.get(s) or [c for k, cs in self.latin.items() if abs(len(k) - len(s)) < 2 and slip(k, s) for c in cs]
 
+    def city_at(self, t: str) -> str:
+        """The longest city that ``t`` begins with, or nothing."""
+        return next((t[:n] for n in self.lengths if t[:n] in self.cities), "")
+
+    def province_at(self, t: str) -> str:
+        return next((t[:n] for n in self.prov_lengths if t[:n] in self.provinces), "")
+
+    def trade_at_end(self, t: str) -> tuple[str, str]:
+        """The longest word for a trade that ``t`` ends in, something being left before it, and the trade's key."""
+        return next(((w, k) for w, k in self.words if t.endswith(w) and len(t) > len(w)), ("", ""))
+
 
 def places_of(text: str | None) -> tuple[list[str], list[str]]:
     """City and province writings in one name, address, description or property."""
@@ -56,6 +64,49 @@ def places_of(text: str | None) -> tuple[list[str], list[str]]:
     return [next(g for g in m if g) for m in PLACE.findall(t)], PROVINCE.findall(t)
 
 
+def unknown_words(name: str | None, places: Places) -> list[tuple[str, str, str]]:
+    """What a company's name may teach: ``brand`` for one between known words; else words at its ends with what is left of it.
+
+    Only names in characters with a legal form count. A ``trade`` is an end
+    before which many different heads stand, a ``city`` a beginning before
+    several brands known from elsewhere.
+    """
+    t = re.sub(r"[\s【】\[\]《》“”\"]", "", folded(name)) if name else ""
+    t = _NOTE.sub("", t)
+    core, form = _formless(t)
+    core = re.sub(r"\([^()]*\)|[()]", "", core)
+    if not form or not re.fullmatch(r"[一-鿿]{2,16}", core):
+        return []
+    if (p := places.province_at(core)) and (core[len(p):len(p) + 1] == "省" or places.city_at(core[len(p):])):
+        core = core[len(p):].removeprefix("省")
+    city = places.city_at(core) if len(core) > 2 else ""
+    if city:
+        core = core[len(city):].removeprefix("市") or core
+    word, _ = places.trade_at_end(core)
+    out = [("name", "", "")]
+    if word:
+        core = core[:-len(word)]
+        if city:
+            out.append(("brand", core, ""))
+        else:
+            out += [("city", core[:n], core[n:]) for n in (2, 3) if len(core) - n >= 2]
+    else:
+        out += [("trade", core[-n:], core[:-n]) for n in (2, 3, 4, 5) if len(core) - n >= 2]
+    return out
+
+
+def _formless(t: str) -> tuple[str, str]:
+    """A name without its legal form, and the form."""
+    form = ""
+    for _ in range(3):
+        m = _FORM.search(t)
+        if not m or m.start() == 0:
+            break
+        form = m[0].lower() + form
+        t = t[:m.start()].rstrip("(").replace("(有)", "")
+    return t, form
+
+
 def slip(a: str, b: str) -> bool:
     """Whether two words are the same but for one letter too many, too few, wrong, or two swapped."""
     if a == b:
@@ -133,33 +184,28 @@ def parse_org(name: str | None, places: Places) -> dict:
     if not re.search(r"[一-鿿]", _NOTE.sub("", t.replace(" ", ""))):
         return _parse_latin(_NOTE.sub("", t), out, places)
     t = re.sub(r"\s+", "", t)
-    m = re.search(r"\(([一-鿿]{2})市?\)", t)
+    m = re.search(r"\(([一-鿿]{2,4}?)市?\)", t)
     if m and (m[1] in places.cities):
         out["city"] = m[1]
         t = t[:m.start()] + t[m.end():]
     for _ in range(2):
         t = _NOTE.sub("", t)
-    for _ in range(3):
-        m = _FORM.search(t)
-        if not m or m.start() == 0:
-            break
-        out["form"] = m[0].lower() + out["form"]
-        t = t[:m.start()].rstrip("(").replace("(有)", "")
+    t, out["form"] = _formless(t)
     t = t.replace("(有)", "")
     if t.startswith("老") and out["form"] == "厂" and len(t) > 2:
         t = t[1:]
     t = re.sub(r"[()]", "", t)
-    if t[:2] in places.provinces and (t[2:3] == "省" or (t[2:4] in places.cities and len(t) > 4)):
-        out["prov"] = t[:2]
-        t = t[3:] if t[2:3] == "省" else t[2:]
-    if t[:2] in places.cities and len(t) > 2:
-        rest = t[3:] if t[2:3] == "市" and len(t) > 3 else t[2:]
+    p = places.province_at(t)
+    if p and (t[len(p):len(p) + 1] == "省" or (places.city_at(t[len(p):]) and len(t) > len(p) + 2)):
+        out["prov"], t = p, t[len(p):].removeprefix("省")
+    c = places.city_at(t)
+    if c and len(t) > len(c):
+        rest = t[len(c) + 1:] if t[len(c)] == "市" and len(t) > len(c) + 1 else t[len(c):]
         if rest:
-            out["city"], t = t[:2], rest
-    for w, k in _WORDS:
-        if t.endswith(w) and len(t) > len(w):
-            out["trade"], t = k, t[:-len(w)]
-            break
+            out["city"], t = c, rest
+    w, k = places.trade_at_end(t)
+    if w:
+        out["trade"], t = k, t[:-len(w)]
     out["brand"] = t
     if re.fullmatch(r"[A-Za-z'’ ]+", t):
         out["latin"], out["brand"] = True, re.sub("[^a-z]", "", t.lower())
@@ -247,18 +293,18 @@ def properties_of(props: str | None, description: str | None, places: Places) ->
         if x in places.cities:
             city = city or x
         else:
-            k = next((k for w, k in _WORDS if x == w), None)
+            k = next((k for w, k in places.words if x == w), None)
             trade = trade or k
             klass = klass if k else (klass or x)
     d = folded(description or "")
-    m = re.search(r"位于([一-鿿]{2})的|登记地([一-鿿]{2})|^([一-鿿]{2})市[一-鿿]+类往来", d)
+    m = re.search(r"位于([一-鿿]{2,4}?)的|登记地([一-鿿]{2,4})|^([一-鿿]{2,4}?)市[一-鿿]+类往来", d)
     if m:
         c = next(g for g in m.groups() if g)
         city = city or (c if c in places.cities else None)
-    m = re.search(r"位于[一-鿿]{2}的([一-鿿]+?)企业|主营([一-鿿]+?)，|市([一-鿿]+?)类往来", d)
+    m = re.search(r"位于[一-鿿]{2,4}?的([一-鿿]+?)企业|主营([一-鿿]+?)，|市([一-鿿]+?)类往来", d)
     if m:
         w = next(g for g in m.groups() if g)
-        trade = trade or next((k for x, k in _WORDS if x == w), None)
+        trade = trade or next((k for x, k in places.words if x == w), None)
     m = re.match(r"([一-鿿]+)，[一-鿿]{2}省内客商", d)
     if m and not klass:
         klass = m[1]

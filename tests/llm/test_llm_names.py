@@ -4,7 +4,7 @@ import math
 from datetime import datetime as D
 
 from loomgraph.llm import cn, names
-from loomgraph.llm.matching import company_records, fit_mixture
+from loomgraph.llm.matching import company_records, fit_mixture, one_or_none
 from loomgraph.llm.parse_names import Places, parse_org, parse_person, slip
 
 P = Places({"崧崖", "崧州", "漪州", "漪崖", "棠浦", "棠州", "浔州", "浔崖", "霁溪", "澜溪"}, {"北崧", "云棠"})
@@ -61,6 +61,44 @@ def test_minhash_recall(spark):
     assert len(want & got) >= 0.95 * len(want)
 
 
+def test_candidate_recall_on_all_sounds(spark):
+    """Every two sounds of sf0.01 that the verification would accept, by brute force, against those looked up."""
+    from loomgraph.session import load
+
+    orders, ents = load(spark, "/root/testdata/sf0.01", "purchase_orders"), load(spark, "/root/testdata/sf0.01", "entities")
+    places = names.learn_places(orders.selectExpr("`供应商` as t").unionByName(ents.where("canonical_id is null").selectExpr("name_cn as t")))
+    nodes = names.make_nodes(names.records_of_names(names.written(orders, "purchase_orders", "供应商", "供应商类别"), places).unionByName(names.records_of_entities(ents, places)))[1].cache()
+    got = {(r.a, r.b) for r in names.sound_pairs(nodes).collect()}
+    for kind, alike in (("org", lambda x, y: names.brand_similarity(*x, *y)), ("person", lambda x, y: names.word_similarity(x[2], y[2]))):
+        rows = sorted({(r.brand, r.latin, r.letters) for r in nodes.where(f"kind = '{kind}' and letters != ''").collect()}, key=lambda r: r[2])
+        rows = [r if kind == "person" else r for r in rows]
+        cut = (lambda r: r[:2]) if kind == "org" else (lambda r: r)
+        want = {(x[2], y[2]) for i, x in enumerate(rows) for y in rows[i + 1:] if x[2] != y[2] and alike(cut(x), cut(y)) >= 0.9}
+        assert len(want) > 8 and len(want & got) >= 0.95 * len(want), (kind, want - got)
+
+
+def test_similarity_is_graded():
+    sim = lambda a, b: names.brand_similarity(a, False, b, False)
+    assert sim("宽平", "款平") > 0.9 and sim("华电", "电华") >= 0.9
+    for a, b in (("华东", "华东电"), ("瑞丰", "端丰"), ("恒泰", "恒秦"), ("唐盛振", "潭正森")):
+        assert 0 < sim(a, b) < 0.9, (a, b)  # the threshold rejects them, no gate before it
+    assert names.brand_similarity("maiduan", True, "maidaun", True) == 0.95 and 0 < names.brand_similarity("maiduan", True, "maitun", True) < 0.9
+    assert names.edits("abcd", "abdc") == 1 and names.edits("", "ab") == 2 and names.edits("kitten", "sitting") == 3
+    assert names.sounded("重乐" * 6, "chongyue" * 6) == 0.99 and names.sounded("重乐", "chongle") == 1.0  # 4096 readings, and four
+    assert names.monge_elkan("", "甲") == 0.0 and names.word_similarity("abc", "abd") < 0.9
+
+
+def test_words_are_learnt(spark):
+    brands = ["恒达", "瑞丰", "金海", "兴隆", "永盛", "宏远", "华美", "正大", "天成", "康泰"]
+    rows = [f"{c}{b}{t}有限公司" for c in ("宁波市", "石家庄市") for b in brands for t in ("食品", "家具")] + [f"昆山{b}食品有限公司" for b in brands[:3]]
+    p = names.learn_places(spark.createDataFrame([(r,) for r in [*rows, None, "", "永辉超市有限公司"]], "t string"))
+    assert {"宁波", "石家庄"} <= p.cities and not any(c.startswith("永辉") for c in p.cities)
+    for t, want in {"宁波恒达食品有限公司": ("宁波", "恒达", "食品"), "石家庄市瑞丰家具有限公司": ("石家庄", "瑞丰", "家具"), "瑞丰家具厂": (None, "瑞丰", "家具")}.items():
+        r = parse_org(t, p)
+        assert (r["city"], r["brand"], r["trade"]) == want, t
+    assert not names.learn_places(spark.createDataFrame([], "t string")).cities
+
+
 def found(spark, orders, ents):
     return {(r.tab, r.key_a, r.key_b) for r in names.name_variants(spark.createDataFrame(orders, O), spark.createDataFrame(ents, E)).collect()}
 
@@ -107,6 +145,33 @@ def test_mixture_separates():
     assert D
 
 
+def test_one_company_or_none_by_enumeration():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        k = int(rng.integers(1, 6))
+        odds, none = rng.normal(0, 3, k), float(rng.uniform(0.01, 0.5))
+        # each hypothesis: no company, or company i and no other; companies are alike beforehand
+        weight = [none] + [(1 - none) / k * math.exp(o) for o in odds]
+        want = np.array(weight) / sum(weight)
+        got, no = one_or_none(odds, np.zeros(k, dtype=int), np.ones(k, dtype=int), none)
+        assert np.allclose(got, want[1:]) and np.allclose(no, want[0])
+    got, no = one_or_none(np.array([2.0, -1.0]), np.array([0, 0]), np.array([2, 1]), 0.1)  # two companies that look the same
+    assert abs(2 * got[0] + got[1] + no[0] - 1) < 1e-12 and got[0] < 0.5
+
+
+def test_the_mixture_decides(spark, monkeypatch):
+    """With likelihood ratios that say nothing, nothing is matched: no rule beside the mixture does it."""
+    from loomgraph.llm import matching
+
+    o = spark.createDataFrame([(f"o{i}", n, None, "") for i, n in enumerate(["漪州宽平机电设备有限公司", "漪州宽平机电", "霁溪来然线缆有限公司"])], O)
+    e = spark.createDataFrame([ent("e1", "漪州宽平机电设备有限公司"), ent("e2", "霁溪来然线缆有限公司")], E)
+    s = spark.createDataFrame([], S)
+    monkeypatch.setattr(matching, "fit_mixture", lambda x, *a: -20.0 * __import__("numpy").ones(len(x)))
+    assert company_records(o, s, e).count() == 0
+
+
 def test_every_sound_is_looked_up(spark):
     brands = [("安平", False), ("安明", False), ("anming", True), ("宁德", False)]
     nodes = spark.createDataFrame([("org", b, names.letters(b), la) for b, la in brands], "kind string, brand string, letters string, latin boolean")
