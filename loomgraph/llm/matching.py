@@ -71,24 +71,27 @@ def start(x: np.ndarray) -> np.ndarray:
     return np.clip((m - m.min()) / max(m.max() - m.min(), 1e-9), 0.02, 0.98) ** 4
 
 
-def fit_mixture(x: np.ndarray, n: np.ndarray, g: np.ndarray, ridge: float, prior: np.ndarray | None = None, weight: float = 2.0) -> np.ndarray:
+def fit_mixture(x: np.ndarray, n: np.ndarray, g: np.ndarray, ridge: float, prior: np.ndarray | None = None, weight: float = 20.0, spread: float = 0.1) -> np.ndarray:
     """One maximisation: the log likelihood ratio of match and non-match of every vector, from its counts ``n`` and matched counts ``g``.
 
     The covariances are regularised: ``ridge`` and a part of the squared
     distance of the two means are added to the diagonal, the more the clearer
-    a feature separates. Given ``prior`` posteriors, both components start from
-    ``weight`` pairs distributed like them, so that few pairs don't overfit.
+    a feature separates. Given ``prior`` posteriors, both components have a
+    conjugate prior worth ``weight`` pairs, which lie where these posteriors
+    put them and vary by ``spread`` in every feature, so that few pairs don't
+    overfit; among many it doesn't count.
     """
-    prior = g / np.maximum(n, 1e-9) if prior is None else prior
+    k = 0.0 if prior is None else weight
+    prior = np.full(len(n), 0.5) if prior is None else prior
     ws = []
     for w, q in ((g, prior * n), (n - g, (1 - prior) * n)):
-        ws.append(w + weight * q / max(q.sum(), 1e-9))
+        ws.append(w + k * q / max(q.sum(), 1e-9))
     means = [(w[:, None] * x).sum(0) / w.sum() for w in ws]
     between = 0.05 * (means[0] - means[1]) ** 2
     out = []
     for w, mean in zip(ws, means):
         d = x - mean
-        cov = (w[:, None] * d).T @ d / w.sum() + np.diag(ridge + between)
+        cov = (w[:, None] * d).T @ d / w.sum() + np.diag(ridge + between + k * spread / w.sum())
         _, det = np.linalg.slogdet(cov)
         out.append(-0.5 * det - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
     return np.clip(out[0] - out[1], -50, 50)
