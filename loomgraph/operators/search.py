@@ -99,32 +99,30 @@ def diverse_picks(scored: DataFrame, group: str, count: int = 5, budget: int = 1
     """Per group up to ``count`` picks ``id, pick`` within a token budget, each as good and as unlike the earlier ones as can be.
 
     ``scored`` has ``id, score, cosine`` (null without a similarity) and
-    ``tokens``. Recall is a top-k feature: the sequential choice is made among
-    the ``pool`` best of a group that fit the budget at all.
+    ``tokens``. Recall is a top-k feature: the choice is made among the
+    ``pool`` best of a group that fit the budget at all. A pick is worth three
+    quarters of its score less a quarter of its nearness to the nearest
+    earlier pick; what no longer fits the budget is out, so ``count`` folds
+    over the pool, held as one array, make the choice.
     """
     w = W.partitionBy(group).orderBy(F.desc("score"), "id")
-    x = scored.where(F.col("tokens") <= budget).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= pool)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = list(pdf.sort_values(["score", "id"], ascending=[False, True]).itertuples())
-        left, picked, out = budget, [], []
-        while rest and len(out) < count:
-            def worth(c):
-                if c.cosine is None or c.cosine != c.cosine:
-                    return c.score
-                return 0.75 * c.score - 0.25 * max((1 - abs(c.cosine - p) for p in picked), default=0.0)
-            best = max(rest, key=lambda c: (worth(c), c.score, -rest.index(c)))
-            rest.remove(best)
-            if best.tokens > left:
-                continue
-            left -= best.tokens
-            out.append((getattr(best, group), best.id, len(out) + 1))
-            if best.cosine is not None and best.cosine == best.cosine:
-                picked.append(best.cosine)
-        return pd.DataFrame(out, columns=[group, "id", "pick"])
-
-    kinds = dict(scored.dtypes)
-    return x.select(group, "id", "score", "cosine", "tokens").groupBy(group).applyInPandas(choose, f"{group} {kinds[group]}, id {kinds['id']}, pick long")
+    best = scored.where(F.col("tokens") <= budget).withColumn("r", F.row_number().over(w)).where(F.col("r") <= pool)
+    item = F.struct(F.col("score").cast("double").alias("score"), (-F.col("r")).alias("r"), F.col("id"), F.when(~F.isnan(F.col("cosine").cast("double")), F.col("cosine").cast("double")).alias("cosine"), F.col("tokens").cast("long").alias("tokens"))
+    pools = best.groupBy(group).agg(F.collect_list(item).alias("pool"))
+    state = lambda left, out: F.struct(left.alias("left"), out.alias("out"))
+    kind = dict(pools.dtypes)["pool"]
+
+    def worth(c: Column, out: Column) -> Column:
+        near = F.array_max(F.transform(F.filter(out, lambda p: p["cosine"].isNotNull()), lambda p: 1 - F.abs(c["cosine"] - p["cosine"])))
+        return F.when(c["cosine"].isNull(), c["score"]).otherwise(0.75 * c["score"] - 0.25 * F.coalesce(near, F.lit(0.0)))
+
+    def step(s: Column, _: Column) -> Column:
+        fits = F.filter("pool", lambda c: (c["tokens"] <= s["left"]) & ~F.exists(s["out"], lambda p: p["r"] == c["r"]))
+        top = F.array_max(F.transform(fits, lambda c: F.struct(worth(c, s["out"]).alias("w"), c.alias("c"))))["c"]
+        return F.when(top.isNull(), s).otherwise(state(s["left"] - top["tokens"], F.concat(s["out"], F.array(top))))
+
+    picks = F.aggregate(F.sequence(F.lit(1), F.lit(count)), state(F.lit(budget).cast("long"), F.array().cast(kind)), step, lambda s: s["out"])
+    return pools.select(group, F.posexplode(picks).alias("i", "p")).select(group, F.col("p")["id"].alias("id"), (F.col("i") + 1).cast("long").alias("pick"))
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, block: str, least: float = 0.85) -> DataFrame:

@@ -205,12 +205,27 @@ def headings(spark, d):
     return documents.headings(load(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+_LINES = """
+with l as (select doc_id as key, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null),
+k as (select *, regexp_matches(line, '^#{1,6}\\s+\\S') as h, regexp_matches(line, '^[ \\t]*\\d+[.、)][ \\t]+\\S.{0,60}$') and not regexp_matches(line, '^[ \\t]*\\d+[.、)][ \\t]+(?i:if|step)\\b') as n from l)
+"""
+
+
+@query(_LINES + """, m as (select *, case when bool_or(h) over (partition by key) then h else n end as mark from k),
+s as (select *, sum(mark::int) over (partition by key order by i) as sec, bool_or(mark) over (partition by key) as any_mark from m),
+b as (select key, sec, coalesce(max(case when mark then trim(regexp_replace(line, '^\\s*(?:#{1,6}|\\d+[.、)])\\s+', ''), chr(32) || chr(9)) end), '') as title,
+  regexp_replace(coalesce(string_agg(case when not mark then line end, chr(10) order by i), ''), '^\\s+|\\s+$', '', 'g') as body from s where sec > 0 or not any_mark group by key, sec)
+select key, cast(row_number() over (partition by key order by sec) as int) as section_index, title, body from b where body <> ''""")
 def section_split(spark, d):
     return documents.sections(load(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query("""with t as (select doc_id as key, unnest(regexp_extract_all(text, '(?m)^[ \\t]*\\|[^\\n]*\\n[ \\t]*\\|*[ \\t]*:?-{3,}:?[ \\t]*(?:\\|[ \\t]*:?-{3,}:?[ \\t]*)*\\|*[ \\t]*$(?:\\n[ \\t]*\\|[^\\n]*)*')) as block,
+  generate_subscripts(regexp_extract_all(text, '(?m)^[ \\t]*\\|[^\\n]*\\n[ \\t]*\\|*[ \\t]*:?-{3,}:?[ \\t]*(?:\\|[ \\t]*:?-{3,}:?[ \\t]*)*\\|*[ \\t]*$(?:\\n[ \\t]*\\|[^\\n]*)*'), 1) as table_index from documents),
+r as (select key, table_index, list_transform(string_split(block, chr(10)), lambda l: list_transform(string_split(regexp_replace(trim(l), '^\\|+|\\|+$', '', 'g'), '|'), lambda c: trim(c))) as rows from t),
+x as (select key, table_index, rows[1] as head, list_filter(rows[3:], lambda r: len(r) = len(rows[1])) as good from r),
+y as (select key, table_index, head, unnest(good) as cells, generate_subscripts(good, 1) as row_index from x)
+select key, cast(table_index as int) as table_index, cast(row_index as int) as row_index, unnest(list_transform(head, lambda h, i: case when h = '' then 'col_' || i else h end)) as col, unnest(cells) as cell from y""")
 def table_rows(spark, d):
     return documents.tables(load(spark, d, "documents"), "doc_id", "text")
 
@@ -224,6 +239,13 @@ def chunk_docs(spark, d):
 def text_thresholds(spark, d):
     from ..functions.columns import thresholds
 
+    return load(spark, d, "documents").select("doc_id", thresholds("text", 6).alias("thresholds"))
+
+
+@query("""select doc_id, regexp_extract_all(text, '(\\d[\\d,.]+)\\s*(?:万元|万|吨|件|小时|天|%|个月|季度)', 1) as thresholds from documents""")
+def text_thresholds_all(spark, d):
+    from ..functions.columns import thresholds
+
     return load(spark, d, "documents").select("doc_id", thresholds("text").alias("thresholds"))
 
 

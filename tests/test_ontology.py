@@ -59,5 +59,13 @@ def test_documents(spark):
     assert [(r.table_index, r.row_index, r.col, r.cell) for r in documents.tables(d, "k", "t").collect()] == [(1, 1, "a", "1"), (1, 1, "b", "2")]
     assert [r.title for r in documents.sections(d, "k", "t").collect()] == ["A", "B"]
     assert [r.title for r in documents.headings(d, "k", "t").collect()] == ["A", "B"]
-    c = documents.cut_chunks("# a\n" + "x" * 90 + "\n# b\n" + "y" * 90, 100, 10)
-    assert len(c) == 2 and c[1].startswith("x" * 9) and documents.cut_chunks("short", 100) == ["short"]
+    cut = lambda t, most, overlap: [r.chunk for r in documents.chunks(spark.createDataFrame([(1, t), (2, None), (3, "")], "k int, t string"), "k", "t", most, overlap).orderBy("chunk_index").collect()]
+    c = cut("# a\n" + "x" * 90 + "\n# b\n" + "y" * 90, 100, 10)
+    assert len(c) == 2 and c[1].startswith("x" * 9) and cut("short", 100, 10) == ["short"]
+    t = "\n\n".join(f"段落{i}" * 20 for i in range(5))
+    assert "".join(cut(t, 70, 0)) == t and len(cut(t, 70, 0)) == 5 and all(sum(f"段落{i}" * 20 in x for x in cut(t, 70, 0)) == 1 for i in range(5))
+    t = "# 一\n\n" + "甲" * 40 + "\n\n# 二\n\n" + "乙" * 40
+    c = cut(t, 50, 10)
+    assert len(c) == 2 and c[1].startswith(c[0][-10:]) and c[0] + c[1][10:] == t
+    assert [(r.key, r.score) for r in documents.document_score(spark.createDataFrame([(1, "a", None, 9), (2, "a", "b", 9), (3, " ", "b", None)], "k int, x string, y string, n int"), "k", ["x", "y"], "n").collect()] == [(1, 0.7), (2, 1.0), (3, 0.5)]
+    assert [(r.title, r.body) for r in documents.sections(spark.createDataFrame([(1, "前言\n1. 目的\n甲\n2) If x, y\n乙\n3、 范围\n\n4. 空\n"), (2, "无题"), (3, " ")], "k int, t string"), "k", "t").orderBy("key", "section_index").collect()] == [("目的", "甲\n2) If x, y\n乙"), ("", "无题")]

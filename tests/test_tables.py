@@ -66,6 +66,11 @@ def test_links(spark):
     assert p[("s", "name")].alt_key and p[("s", "supplier_id")].is_unique
     assert links.primary_key(["name", "supplier_id"], {"name", "supplier_id"}) == "supplier_id" and links.primary_key(["a"], set()) == "__row_hash__"
     assert links.named_foreign_key("customer_id", "Customer", "customers") == "HAS_CUSTOMER" and links.named_foreign_key("colour", "Customer", "customers") is None
+    assert links.named_foreign_key("supplier.id", "Supplier", "supplier_database") == "HAS_SUPPLIER" and links.named_foreign_key("supplier.id", "Warehouse", "warehouse_db") is None
+    assert links.named_foreign_key("supplierId", "Supplier", "x") == "HAS_SUPPLIER" and links.named_foreign_key("", "A", None) is None
+    src = spark.createDataFrame([("SUP-001", "华东", 1), ("SUP-002", "华南", 2), (None, None, 3)], "`供应商` string, `目的区域` string, supplier_id int")
+    tgt = spark.createDataFrame([("SUP-001",), ("SUP-002",), ("SUP-004",), (None,)], "id string")
+    assert links.detected_foreign_keys(src, src.columns, tgt, "id", "Supplier", "supplier_database") == {"supplier_id": "HAS_SUPPLIER", "供应商": "HAS_SUPPLIER"}
     assert links.class_name("sales_orders") == "SalesOrders" and links.class_name("订单").startswith("Entity") and links.guessed_type("created") == "datetime"
 
 
