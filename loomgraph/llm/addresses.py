@@ -1,7 +1,9 @@
 """Writings of one delivery place, by a gazetteer built from the addresses themselves.
 
-Addresses are taken apart (see ``parse_addresses``). Street spellings that
-sound alike within a locality are one street and get an identifier; numbers
+Addresses are taken apart (see ``parse_addresses``). Street spellings are
+clustered within their locality: those that sound alike are one, and those a
+letter apart in sound join the star of a more frequent one with which they
+share house numbers. Each cluster is a street and gets an identifier; numbers
 and units seen there become gazetteer entries. Every address is then resolved
 by a beam search over the entries: localities that fit, street and number,
 unit; parts that are left out fit anything. Addresses are joined on
@@ -16,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..session import cut
-from .names import MISSING
-from .parse_addresses import Gazette, locality_words, parse_address, sound
+from .names import MISSING, star_clusters
+from .parse_addresses import Gazette, locality_words, parse_address, slipped_words, sound
 
 PARTS = "addr string, prov string, city string, district string, sound string, kind string, number long, building long, room string"
 
@@ -39,12 +41,12 @@ def learn_gazette(addresses: DataFrame, least: int = 1, most: int = 100_000) ->
             yield pd.DataFrame([(k, x, v) for (k, x), v in n.items()], columns=["k", "x", "n"])
 
     got = addresses.mapInPandas(find, "k string, x string, n long").groupBy("k", "x").agg(F.sum("n").alias("n"))
-    # a word that stands in few addresses, against many for the usual ones of its kind, is a slip and no locality
-    got = got.withColumn("all", F.avg("n").over(W.partitionBy("k"))).where((F.col("n") >= least) & (F.col("n") >= F.col("all") * 0.02))
-    rows = got.limit(most + 1).collect()
+    rows = got.where(F.col("n") >= least).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} localities; give a gazetteer")
-    return Gazette(*[{r.x for r in rows if r.k == k} for k in ("prov", "city", "dist")])
+    counts = {k: {r.x: r.n for r in rows if r.k == k} for k in ("prov", "city", "dist")}
+    slips = {k: slipped_words(c) for k, c in counts.items()}
+    return Gazette(*[set(c) - set(slips[k]) for k, c in counts.items()], slips)
 
 
 def taken_apart(addresses: DataFrame, g: Gazette) -> DataFrame:
@@ -59,21 +61,53 @@ def taken_apart(addresses: DataFrame, g: Gazette) -> DataFrame:
     return addresses.mapInPandas(parse, PARTS)
 
 
+def streets(whole: DataFrame, rarer: int = 3) -> DataFrame:
+    """``city, district, sound, kind, street_id``: the street that each spelling within a locality belongs to.
+
+    Spellings one letter apart in sound, or with two letters swapped, are
+    linked if they have a house number in common and one is at least
+    ``rarer`` times as frequent as the other; they are looked up under their
+    house number and the sound without one letter. Stars around the most
+    frequent spellings are the streets.
+    """
+    at = ["city", "district", "sound", "kind"]
+    node = F.xxhash64(*at)
+    n = cut(whole.groupBy(*at, "number").agg(F.count("*").alias("n")).withColumn("node", node))
+    nodes = n.groupBy(*at, "node").agg(F.sum("n").alias("n"))
+    less = F.expr("transform(sequence(1, length(sound)), i -> concat(substring(sound, 1, i - 1), substring(sound, i + 1)))")
+    keys = n.where(F.length("sound") >= 4).select("city", "district", "kind", "number", "node", "sound", F.explode(F.array_distinct(F.concat(less, F.array("sound")))).alias("key"))
+    x, y = (keys.select("city", "district", "kind", "number", "key", F.col("node").alias(k), F.col("sound").alias(f"s{k}")) for k in "ab")
+    pairs = x.join(y, ["city", "district", "kind", "number", "key"]).where((F.col("a") < F.col("b")) & (F.levenshtein("sa", "sb", 2) >= 0)).select("a", "b", "sa", "sb").distinct()
+    swapped = (F.length("sa") == F.length("sb")) & (F.array_sort(F.split("sa", "")) == F.array_sort(F.split("sb", "")))
+    pairs = pairs.where((F.levenshtein("sa", "sb") <= 1) | swapped)
+    count = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"))
+    links = pairs.join(count("a"), "a").join(count("b"), "b").where(F.greatest("na", "nb") >= rarer * F.least("na", "nb")).select("a", "b", F.lit(1.0).alias("sim"))
+    sat, _ = star_clusters(nodes.select("node", F.floor(F.log2("n")).alias("rank")), cut(links))
+    best = sat.join(nodes.select(F.col("node").alias("center"), "n"), "center").groupBy("node").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
+    return nodes.join(best, "node", "left").select(*at, F.coalesce("center", "node").alias("street_id"))
+
+
 def resolved(parts: DataFrame, beam: int = 8) -> DataFrame:
-    """``addr, street_id, number, building, room`` of every address; street_id null where no or no single entry fits and parts are missing."""
+    """``addr, street_id, number, building, room`` of every address; street_id null where no or no single entry fits and parts are missing.
+
+    The beam holds the ``beam`` best localities of an address and all that are as good as the last of them.
+    """
     whole = (F.col("city") != "") & (F.col("district") != "") & (F.col("sound") != "") & F.col("number").isNotNull()
-    sid = F.xxhash64("city", "district", "sound", "kind")
-    entries = parts.where(whole).groupBy("city", "district", "sound", "kind", "number").agg(F.count("*").alias("w")).withColumn("street_id", sid)
+    at = ["city", "district", "sound", "kind"]
+    street = cut(streets(parts.where(whole)))
+    placed = cut(parts.where(whole).join(street, at))
+    entries = placed.groupBy(*at, "number", "street_id").agg(F.count("*").alias("w"))
     prov = parts.where("prov != '' and city != ''").groupBy("city", "prov").agg(F.count("*").alias("n")).groupBy("city").agg(F.max_by("prov", "n").alias("e_prov"))
     entries = cut(entries.join(prov, "city", "left").select(F.col("city").alias("e_city"), F.col("district").alias("e_district"), "e_prov", "sound", "kind", "number", "street_id"))
-    units = parts.where(whole & F.col("building").isNotNull()).select(sid.alias("street_id"), "number", F.col("building").alias("u_building"), F.col("room").alias("u_room")).distinct()
+    units = placed.where("building is not null").select("street_id", "number", F.col("building").alias("u_building"), F.col("room").alias("u_room")).distinct()
     part = parts.where(~whole & (F.col("sound") != "") & F.col("number").isNotNull())
     fits = lambda x, y: (F.col(x) == "") | F.col(y).isNull() | (F.col(x) == F.col(y))
     first = part.join(entries, ["sound", "kind", "number"]).where(fits("city", "e_city") & fits("district", "e_district") & fits("prov", "e_prov"))
     known = F.col("e_prov").isNotNull() & (F.col("prov") == F.col("e_prov"))
     first = first.withColumn("score", (F.col("city") == F.col("e_city")).cast("int") * 4 + (F.col("district") == F.col("e_district")).cast("int") * 3 + known.cast("int") * 2)
-    w = W.partitionBy("addr").orderBy(F.desc("score"), "street_id")
-    first = first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= beam)
+    # spellings of one street that fit alike are one entry
+    first = first.groupBy("addr", "street_id", "number", "building", "room").agg(F.max("score").alias("score"))
+    first = first.withColumn("r", F.rank().over(W.partitionBy("addr").orderBy(F.desc("score")))).where(F.col("r") <= beam)
     u = first.join(units, ["street_id", "number"], "left").withColumn(
         "unit", F.when(F.col("building").isNull(), F.when((F.col("room") != "") & (F.col("room") == F.col("u_room")), 2).otherwise(0))
         .when(F.col("building") == F.col("u_building"), F.when((F.col("room") == "") | (F.col("room") == F.col("u_room")), 2).otherwise(1)).otherwise(0))
@@ -82,7 +116,7 @@ def resolved(parts: DataFrame, beam: int = 8) -> DataFrame:
     w2 = W.partitionBy("addr").orderBy(total.desc())
     second = second.withColumn("r", F.row_number().over(w2)).withColumn("next", F.lead(total).over(w2)).withColumn("t", total).where("r = 1 and (next is null or t > next)")
     found = second.select("addr", "street_id", "number", "building", "room")
-    own = parts.where(whole).select("addr", sid.alias("street_id"), "number", "building", "room")
+    own = placed.select("addr", "street_id", "number", "building", "room")
     # numbers that no whole address names: their writings are one place if the localities they name don't contradict each other
     rest = part.join(first.select("addr").distinct(), "addr", "left_anti")
     said = lambda c: F.when(F.col(c) != "", F.col(c))
@@ -116,5 +150,5 @@ def same_places(shipments: DataFrame, col: str = "收货地址") -> DataFrame:
     Null, empty and dash addresses denote none and give no row; repeated rows
     count once; texts without a street or number are linked to nothing.
     """
-    p = cut(places(shipments, col))
+    p = cut(places(shipments, col))  # the same result with one row per writing
     return p.alias("x").join(p.alias("y"), "place").where("x.addr < y.addr").select(F.col("x.addr").alias("addr_a"), F.col("y.addr").alias("addr_b"))
