@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import load
 from .addresses import same_places
-from .fusion import survivors
+from .fusion import fused_survivors, survivors
 from .leakage import leaked_passages
 from .matching import company_records
 from .names import name_variants
@@ -29,7 +29,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_posteriors(spark: SparkSession, d: str) -> DataFrame:
-    return survivors(load(spark, d, "entities"))
+    return fused_survivors(load(spark, d, "entities"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
