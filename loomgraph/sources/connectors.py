@@ -6,6 +6,7 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from datetime import date, datetime
 from io import BytesIO
 from xml.etree import ElementTree as ET
 
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.nested import records_of
+from ..session import scratch
 from ..streaming.incremental import after_cursor
 
 IDENTIFIER = re.compile(r"^[A-Za-z_一-鿿][\w一-鿿]*(\.[A-Za-z_一-鿿][\w一-鿿]*)?$")
@@ -85,16 +87,43 @@ class FileConnector(Connector):
 
 
 class RestConnector(Connector):
-    """Pages of records fetched by ``fetch(resource, page)``, a function of the configuration; it stops at an empty or short page without ``next``."""
+    """Pages of records fetched by ``fetch(resource, page)``, a function of the configuration, until an empty or a short page without ``next``.
+
+    Pages are written to the shared folder in parts of ``pages_per_part``, so
+    the driver never holds more than one part. All pages are followed; a
+    configured ``max_pages`` is a guard that raises when there are more.
+    """
 
     def full(self, spark: SparkSession, resource: str) -> DataFrame:
-        size, most, pages = self.config.get("page_size", 100), self.config.get("max_pages", 100), []
-        for k in range(1, most + 1):
-            text, n, more = self.config["fetch"](resource, k)
+        return self._pages(spark, lambda k: self.config["fetch"](resource, k))
+
+    def delta(self, spark: SparkSession, resource: str, wm: str, pk: str, cursor: tuple | None = None, overlap: str | None = None) -> DataFrame:
+        """Records behind the cursor, with their watermark and key; with ``fetch_since(resource, page, cursor)`` in the configuration the service leaves out the others.
+
+        The types of the two are those of the cursor, or given as ``types``; else they are compared as text.
+        """
+        since = self.config.get("fetch_since")
+        rows = self._pages(spark, lambda k: since(resource, k, cursor)) if since and cursor else self.full(spark, resource)
+        known = {int: "bigint", float: "double", datetime: "timestamp", date: "date"}
+        kinds = {c: self.config.get("types", {}).get(c) or known.get(type(v), "string") for c, v in zip((wm, pk), cursor or (None, None))}
+        rows = rows.select(*[F.try_variant_get("record", f"$.{identifier(c)}", k).alias(c) for c, k in kinds.items()], "record")
+        return after_cursor(rows, identifier(wm), identifier(pk), cursor, overlap).orderBy(wm, pk)
+
+    def _pages(self, spark: SparkSession, fetch) -> DataFrame:
+        size, most, part = self.config.get("page_size", 100), self.config.get("max_pages"), self.config.get("pages_per_part", 1000)
+        path, pages, k = scratch(spark), [], 0
+        while True:
+            k += 1
+            if most and k > most:
+                raise ValueError(f"more than {most} pages; raise max_pages")
+            text, n, more = fetch(k)
             pages.append((text,))
-            if n == 0 or (n < size and not more):
-                break
-        return records_of(spark.createDataFrame(pages, "value string"), "value", self.config.get("data_path"))
+            last = n == 0 or (n < size and not more)
+            if last or len(pages) == part:
+                spark.createDataFrame(pages, "value string").write.mode("append").parquet(path)
+                pages = []
+            if last:
+                return records_of(spark.read.schema("value string").parquet(path), "value", self.config.get("data_path"))
 
     def resources(self, spark: SparkSession) -> list[str]:
         return list(self.config.get("resources", []))

@@ -54,6 +54,26 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])).alias("line"))
 
 
+def yaml(df: DataFrame) -> DataFrame:
+    """``line``: the rows as items of one YAML sequence, each a flow mapping, of which JSON is a part."""
+    return json_lines(df).select(F.concat(F.lit("- "), "line").alias("line"))
+
+
+def html_report(entities: DataFrame, relations: DataFrame, most: int = 1000) -> str:
+    """A page with the numbers of entities and relations by type; the ``most`` frequent types are named and the others summed."""
+    from html import escape
+
+    def table(title: str, df: DataFrame) -> str:
+        n = df.groupBy(F.coalesce("type", F.lit("")).alias("type")).agg(F.count("*").alias("n"))
+        top = n.orderBy(F.desc("n"), "type").limit(most).collect()
+        total = df.count()
+        rest = total - sum(r.n for r in top)
+        rows = [(r.type or "-", r.n) for r in top] + ([("others", rest)] if rest else [])
+        return f"<h2>{escape(title)}: {total}</h2><table>" + "".join(f"<tr><td>{escape(t)}</td><td>{k}</td></tr>" for t, k in rows) + "</table>"
+
+    return "<!doctype html><meta charset=\"utf-8\"><title>Ontology</title>" + table("Entities", entities) + table("Relations", relations)
+
+
 def concept_text(entities: DataFrame) -> DataFrame:
     """``id, text`` to embed: names, type, description and properties in one text."""
     return entities.select("id", F.concat_ws(" ", *[F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", F.trim(c)) for c in ("name_cn", "name_en", "type", "description", "properties")]).alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.governance import content_hash
@@ -10,18 +11,24 @@ MANIFEST = "dataset string, version long, rows long, content_hash string, source
 
 
 def versions(spark: SparkSession, root: str, dataset: str) -> DataFrame:
+    """The manifest's lines; none if there is no manifest yet. One that can't be read is an error."""
     try:
         return spark.read.schema(MANIFEST).json(f"{root}/{dataset}/manifest")
-    except Exception:  # noqa: BLE001
-        return spark.createDataFrame([], MANIFEST)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], MANIFEST)
+        raise
 
 
 def write_version(df: DataFrame, root: str, dataset: str, cursor: str | None = None, provenance: str | None = None) -> int:
-    """The table as the next version. Data come first, the manifest's line last: a crash in between leaves no half version visible."""
+    """The table as the next version. Data come first, the manifest's line last: a crash in between leaves no half version visible.
+
+    A version's folder is never overwritten: of two writers of one number the second fails.
+    """
     spark = df.sparkSession
     n = (versions(spark, root, dataset).agg(F.max("version")).first()[0] or 0) + 1
     path = f"{root}/{dataset}/v={n}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("errorifexists").parquet(path)
     h = content_hash(spark.read.parquet(path)).first()
     spark.createDataFrame([(dataset, n, h["rows"], h["content_hash"], cursor, provenance)], MANIFEST).coalesce(1).write.mode("append").json(f"{root}/{dataset}/manifest")
     return n

@@ -4,6 +4,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.sources import connectors as S, exports, versions
 
@@ -53,6 +54,15 @@ def test_rest(spark):
     pages = {1: ('{"data": [{"a": 1}, {"a": 2}]}', 2, True), 2: ('{"data": [{"a": 3}]}', 1, False)}
     c = S.connector("rest", {"fetch": lambda r, k: pages[k], "page_size": 2})
     assert c.full(spark, "x").count() == 3
+    many = lambda r, k: (f'{{"data": [{{"id": {k}, "wm": {k}}}]}}', 1, k < 130)
+    c = S.connector("rest", {"fetch": many, "page_size": 2, "pages_per_part": 50})
+    assert c.full(spark, "x").count() == 130  # beyond a hundred pages, until the last one
+    with pytest.raises(ValueError):
+        S.connector("rest", {"fetch": many, "page_size": 1, "max_pages": 20}).full(spark, "x")
+    asked = []
+    since = lambda r, k, cur: (asked.append(cur), (f'{{"data": [{{"id": {cur[0] + k}, "wm": {cur[0] + k}}}]}}' if k < 3 else '{"data": []}', 1 if k < 3 else 0, True))[1]
+    c = S.connector("rest", {"fetch": many, "fetch_since": since, "page_size": 1})
+    assert [r.id for r in c.delta(spark, "x", "wm", "id", (40, 40)).collect()] == [41, 42] and set(asked) == {(40, 40)}
 
 
 def test_versions(spark, tmp_path):
@@ -62,6 +72,9 @@ def test_versions(spark, tmp_path):
     assert versions.read_version(spark, root, "d", 1).count() == 3 and versions.read_version(spark, root, "d").count() == 2
     with pytest.raises(LookupError):
         versions.read_version(spark, root, "d", 9)
+    (tmp_path / "d/v=3").mkdir()  # another writer's
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        versions.write_version(a, root, "d")
     with pytest.raises(ValueError):
         versions.pinned(["d", "e"], {"d": [1]})
 
@@ -72,4 +85,8 @@ def test_exports(spark, tmp_path):
     assert exports.turtle(e, r).count() == 3 and '\\"' in exports.cypher(e, r).first().line
     exports.property_graph(e, r, f"{tmp_path}/g")
     assert spark.read.option("header", True).csv(f"{tmp_path}/g/vertices").count() == 1
+    y = exports.yaml(e.select("id", "name_cn", "name_en")).first().line
+    assert y == '- {"id":"1","name_cn":"a\\"b"}'
+    page = exports.html_report(e, r)
+    assert page.startswith("<!doctype html>") and "<td>T</td><td>1</td>" in page and "<td>rel</td><td>1</td>" in page and "&lt;" in exports.html_report(e.withColumn("type", F.lit("<b>")), r)
     assert exports.as_text(spark.createDataFrame([(bytearray(b"abc"), [1])], "b binary, a array<int>")).first() == ("<3 bytes>", "[1]")
