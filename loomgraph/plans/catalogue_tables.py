@@ -116,10 +116,10 @@ def _report(name: str, table: str, cols: list[str]) -> None:
     query(_quality(table, [f'"{c}"' for c in cols]))(f)
 
 
-_report("quality_report_orders", "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
-_report("quality_report_lineitem", "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"])
-_report("quality_report_purchase_orders", "purchase_orders", ["订单号", "供应商", "供应商类别", "数量", "实际到货期", "状态"])
-_report("quality_report_relations", "relations", ["id", "source_entity", "target_entity", "type", "deprecated_by"])
+_report("quality_report_orders", "orders", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split())
+_report("quality_report_lineitem", "lineitem", "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split())
+_report("quality_report_purchase_orders", "purchase_orders", "订单号 下单日期 供应商 供应商类别 物料编码 物料名称 物料类别 规格型号 单位 数量 单价 总金额 要求交货期 实际到货期 状态 质检结果 采购员".split())
+_report("quality_report_relations", "relations", "id ontology_id source_entity target_entity type properties confidence deprecated_at deprecated_by created_at".split())
 
 
 @query("""with c as (unpivot (select cast(event_id as varchar) event_id, cast(user_id as varchar) user_id, event_type, props from events) on event_id, user_id, event_type, props into name col value v)

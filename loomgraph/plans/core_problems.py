@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.hierarchy import DOWN, UP, descendants, hierarchy, hierarchy_edges
+from ..operators.hierarchy import DOWN, UP, descendants, hierarchy, hierarchy_edges, several_parents
 from ..operators.references import orphan_references, orphan_report
 from ..session import load
 
@@ -24,6 +24,12 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(hierarchy(hierarchy_edges(load(spark, d, "relations"), load(spark, d, "entities")), with_paths=True))
 
 
+def p3_several_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that name several parents, of which the hierarchy follows the smallest."""
+    p = several_parents(hierarchy_edges(load(spark, d, "relations"), load(spark, d, "entities")))
+    return p.selectExpr("node_id", "array_join(parents, ',') as parents")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return orphan_references(*[load(spark, d, t) for t in ("relations", "entities", "ontology_projects")]).select("relation_id", "ref_field", "kind")
 
@@ -33,7 +39,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p5_found, p5_report)}
+    return {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p3_several_parents, p5_found, p5_report)}
 
 
 def _list(xs: tuple[str, ...]) -> str:
@@ -71,6 +77,10 @@ o as (
         "p3_found": _WALK + f"select n as node_id, case when back is null then pos else {loop} end as root_id, cast(case when back is null then d else -1 end as bigint) as depth from x",
         "p3_paths": _WALK + f"select n as node_id, case when back is null then pos else {loop} end as root_id, cast(case when back is null then d else -1 end as bigint) as depth, case when back is null then array_to_string(seen, '/') end as path from x",
         "p3_descendants": _WALK + "select up.pos as ancestor_id, up.n as node_id, cast(up.d as bigint) as distance from up join x using (n) where x.back is null and up.d > 0",
+        "p3_several_parents": _WALK.split("e as (")[0] + f"""x as (select distinct c.id as child, p.id as parent from (
+    select case when k in ({_list(UP)}) then s else t end as a, case when k in ({_list(UP)}) then t else s end as b from r where k in ({_list(UP + DOWN)})) y
+  join ids c on c.k = y.a join ids p on p.k = y.b)
+select child as node_id, string_agg(parent, ',' order by parent) as parents from x group by 1 having count(*) > 1""",
         "p5_found": orphans + "select id as relation_id, f as ref_field, kind from o where kind is not null",
         "p5_report": orphans + "select f as ref_field, strftime(created_at, '%Y-%m') as period, kind, count(*) as n from o where kind is not null group by all",
     }
