@@ -178,3 +178,56 @@ def test_every_sound_is_looked_up(spark):
     assert ("anming", "anping") in {(r.a, r.b) for r in names.sound_pairs(nodes).collect()}  # though another brand sounds like the slip
     a, b = (names.sound_keys(x, False, names.letters(x)) for x in ("平安", "品安"))
     assert a & b and a & names.sound_keys("pingan", True, "pingan") and names.sound_keys("品干", False, "pingan") & names.sound_keys("pingan", True, "pingan")
+
+
+def test_slips_of_companies_need_no_comparison_by_chance(spark):
+    """Problem 6: every two brands the verification accepts meet under a key, those of two wrong letters don't, however many bands they'd share."""
+    brands = [("羽先天", False), ("先宇天", False), ("先勤朝", False), ("先勤涛", False), ("xianqinchoa", True), ("xianqinhao", True), ("仁宽乐", False), ("renkuanyeu", True), ("森精国精密", False), ("庭精国精密", False), ("庭精国精", False), ("行筑窗双", False), ("行筑窗", False), ("筑筑鑫", False), ("筑鑫", False)]
+    nodes = spark.createDataFrame([("org", b, names.letters(b), la) for b, la in brands], "kind string, brand string, letters string, latin boolean")
+    got = {frozenset((r.a, r.b)) for r in names.sound_pairs(nodes, listed=True).collect()}
+    for i, (a, la) in enumerate(brands):
+        for b, lb in brands[i:]:
+            if names.brand_similarity(a, la, b, lb) >= 0.9:
+                assert frozenset((names.letters(a), names.letters(b))) in got, (a, b)
+    assert frozenset(("renkuanle", "renkuanyeu")) in got  # a slip against a rarer reading
+    assert frozenset(("xianqinchao", "xianqintao")) not in got and frozenset(("xianqinchao",)) in got
+    assert frozenset(("xianqinchao", "xianqintao")) in {frozenset((r.a, r.b)) for r in names.sound_pairs(nodes).collect()}
+
+
+def test_listed_keys_at_random():
+    import random
+
+    r = random.Random(5)
+    pool, accepted = "宽款平瓶迈端恒腾筑林满朋国卓乐重盛长行朝单曾沈仁越若胜深生升鑫深张章庄双霜床窗壮状", 0
+    keys = lambda b, la: names.sound_keys(b, la, names.letters(b)) | names.slip_keys(b, la, names.letters(b))
+    for _ in range(3000):
+        x = "".join(r.choice(pool) for _ in range(r.randint(2, 9)))
+        y, latin = list(x), r.random() < 0.5
+        if latin:
+            y = [c for z in y for c in r.choice(sorted(cn.sounds(z)))]
+        for _ in range(1 if latin else r.randint(1, 2)):
+            i = r.randrange(max(1, len(y) - 1))
+            y[i:i + 2] = r.choice((y[i + 1:i + 2], y[i:i + 2][::-1], [r.choice("aehngu" if latin else pool), *y[i:i + 2]], [r.choice("aehngu" if latin else pool), *y[i + 1:i + 2]]))
+        y = "".join(y)
+        if y and names.brand_similarity(x, False, y, latin) >= 0.9:
+            accepted += 1
+            assert keys(x, False) & keys(y, latin), (x, y)
+    assert accepted > 300
+
+
+def test_edits_by_the_whole_table():
+    import random
+
+    def whole(a, b):
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    r = random.Random(2)
+    for _ in range(3000):
+        a, b = ("".join(r.choice("abn") for _ in range(r.randint(0, 7))) for _ in range(2))
+        assert names.edits(a, b) == whole(a, b), (a, b)
